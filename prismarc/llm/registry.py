@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, mixing, mpeg, simhash, substring_words, suffixes, token_counts, warc
+from . import chat, decontaminate, mixing, mpeg, quality, simhash, substring_words, suffixes, token_counts, warc
 from .common import table
 
 
@@ -28,6 +29,10 @@ def op5_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
@@ -36,6 +41,12 @@ def op8_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.dedup_bytes(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that stay."""
+    kept = quality.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return kept.select("doc_id", F.col("__weight").alias("log_weight"), F.col("__key").alias("sampling_key"))
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.with_probe(table(spark, sf_dir, "conversations")))
 
@@ -47,8 +58,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_mixing": op3_mixing,
         "op4_warc": warc.query,
         "op5_mpeg_audio": op5_mpeg_audio,
+        "op6_string_tiling": op6_string_tiling,
         "op7_simhash": op7_simhash,
         "op8_suffix_array": op8_suffix_array,
+        "op9_quality": op9_quality,
         "op10_chat": op10_chat,
     }
 

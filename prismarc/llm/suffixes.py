@@ -185,3 +185,43 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     kind = dict(joined.dtypes)["__id"]
     return joined.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else ""))
+
+
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100, chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` without the repeats in its texts; rows that lose a whole text go.
+
+    Spans shrink to whole characters, so the texts stay valid UTF-8.  ``chars_col``, if there is such a column, is counted anew.
+    """
+    every = docs.select("*", *[F.col(c).alias(n) for c, n in ((id_col, "__id"), (text_col, "__raw"))])
+    every = every.withColumn("__raw", F.coalesce(F.col("__raw").cast("binary"), F.lit(b"")))
+    every = every.withColumn("__k", F.xxhash64("__raw").bitwiseAND(0xFFFFFF))
+    joined = with_spans(every, covered_spans(every.select("__id", "__k", "__raw"), Windows(size, min(GRAM, size), False)))
+    names = docs.columns
+    spoiled = joined.filter(F.col("__spans").isNotNull())
+
+    def whole(raw: bytes, a: int, b: int) -> tuple[int, int]:
+        while a < b and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        return a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            spans = batch.column(batch.schema.get_field_index("__spans")).to_pylist()
+            for raw, own in zip(as_bytes(batch, "__raw"), spans, strict=True):
+                parts, at = [], 0
+                for x, y in merged([(s["__from"], s["__to"]) for s in own]):
+                    x, y = whole(raw, x, y)
+                    parts.append(raw[at:x])
+                    at = y
+                parts.append(raw[at:])
+                texts.append(b"".join(parts).decode("utf-8", "replace"))
+            column = {f.name: batch.column(i) for i, f in enumerate(batch.schema)} | {text_col: pa.array(texts, pa.string())}
+            yield pa.RecordBatch.from_arrays([column[c] for c in names], names=names)
+
+    cleaned = spoiled.select(*docs.columns, "__raw", "__spans").mapInArrow(run, docs.schema).filter(F.col(text_col) != "")
+    if chars_col in docs.columns:
+        cleaned = cleaned.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType))
+    return joined.filter(F.col("__spans").isNull()).select(*docs.columns).unionByName(cleaned)
