@@ -224,7 +224,8 @@ def classes(runs: DataFrame, within: bool) -> Classes:
     """``within``: an earlier start in the same document counts, too."""
     runs = cut(runs)
     firsts = runs.groupBy("__h", "__c").agg(F.min(F.struct("__id", "__p")).alias("__first"))
-    shared = firsts.groupBy("__h").agg(F.count("*").alias("__kinds")).filter("__kinds > 1").select("__h")
+    # written out, so that the join below has an exchange on either side and Spark can split a frequent anchor
+    shared = cut(firsts.groupBy("__h").agg(F.count("*").alias("__kinds")).filter("__kinds > 1").select("__h"))
     told = runs.join(firsts, ["__h", "__c"])
     later = F.col("__id") > F.col("__first.__id")
     if within:
@@ -245,9 +246,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs (__id, __k, __raw) with __spans, the covered (__from, __to) of each; of bounded length, as they lie in one text."""
+    """docs (__id, __k, __raw, ...) with __spans, the covered (__from, __to) of each; of bounded length, as they lie in one text.
+
+    Rows with an id are joined just as ``open_texts`` joins them, so one exchange of the texts serves both.
+    """
     lists = spans.groupBy("__id", "__k").agg(F.collect_set(F.struct("__from", "__to")).alias("__spans"))
-    return docs.join(lists.select(F.col("__id").alias("__i"), F.col("__k").alias("__j"), "__spans"), (F.col("__id") == F.col("__i")) & (F.col("__k") == F.col("__j")), "left").drop("__i", "__j")
+    told = docs.filter(F.col("__id").isNotNull()).join(lists, ["__id", "__k"], "left")
+    rest = docs.filter(F.col("__id").isNull()).withColumn("__spans", F.lit(None).cast(lists.schema["__spans"].dataType))
+    return told.select(*docs.columns, "__spans").unionByName(rest)
 
 
 def open_texts(docs: DataFrame, rest: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ def covered_spans(docs: DataFrame, windows: Windows) -> DataFrame:
     comparable = docs.filter(F.col("__id").isNotNull())
     runs = run_table(comparable, windows)
     found = classes(estimated_twice(runs, runs), within=False)
-    rows = cut(window_rows(open_texts(comparable, found.open), windows))
+    rows = window_rows(open_texts(comparable, found.open), windows)
     first = rows.groupBy("__w1", "__w2").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).filter("__first < __last").drop("__last")
     late = rows.join(first, ["__w1", "__w2"]).filter("__id > __first").selectExpr("__id", "__k", "__from", f"__from + {windows.size} AS __to")
     whole = found.covered.selectExpr("__id", "__k", "__a AS __from", f"__a + __n + {windows.size} AS __to")
