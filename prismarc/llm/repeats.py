@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, cut
 
 U = np.uint64
-PIECE = 1 << 20  # units that are worked on at once
+PIECE = 1 << 18  # units that are worked on at once
 _Q = 0x9E3779B97F4A7C15
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -132,17 +132,16 @@ class Windows:
         buf = np.frombuffer(b"".join(raws), np.uint8)
         return BYTE_1[buf], BYTE_2[buf], np.array([len(x) for x in raws], np.int64)
 
-    def runs(self, one: np.ndarray, two: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(a, b, anchor hash, run hash) of windows a..b within texts that end at ``ends`` (by unit)."""
+    def runs(self, one: np.ndarray, two: np.ndarray | None, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(a, b, anchor hash, run hash) of windows a..b within texts that end at ``ends`` (by unit); run hashes only if ``two`` is given."""
         n, size, gram = len(one), self.size, self.gram
         if n < size:
             none = np.zeros(0, np.int64)
             return none, none, none.view(U), none.view(U)
         sums = prefix(one)
-        at = np.arange(n - gram + 1)
-        grams = spans_hash(sums, at, at + gram)
+        grams = mixed((sums[gram:] - sums[:-gram]) * powers(n + 1)[1][: n - gram + 1])
         low = U((1 << 22) - 1)
-        anchor = (sliding_min((grams & ~low) | at.astype(U), size - gram + 1) & low).astype(np.int64)
+        anchor = (sliding_min((grams & ~low) | np.arange(n - gram + 1, dtype=U), size - gram + 1) & low).astype(np.int64)
         start = np.arange(n - size + 1)
         inside = ends[: n - size + 1] - start >= size
         new = np.ones(len(start), bool)
@@ -150,23 +149,41 @@ class Windows:
         last = np.ones(len(start), bool)
         last[:-1] = ~inside[1:] | (anchor[1:] != anchor[:-1])
         a, b = np.flatnonzero(inside & new), np.flatnonzero(inside & last)
+        if two is None:
+            return a, b, grams[anchor[a]], np.zeros(len(a), U)
         place = (anchor[a] - a).astype(U) << U(16) | (b - a).astype(U)
         return a, b, grams[anchor[a]], mixed(spans_hash(prefix(two), a, b + size) + place)
 
 
 def doc_pieces(counts: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(from, to, text of each unit, end of each unit's text) of pieces of all units; longer texts overlap by a window."""
-    starts = np.concatenate([[0], np.cumsum(counts)])
-    total, at = int(starts[-1]), 0
+    total, at = int(counts.sum()), 0
+    text = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+    ends = np.repeat(np.cumsum(counts), counts)
     while at < total:
         end = min(total, at + PIECE + size - 1)
-        which = np.searchsorted(starts, np.arange(at, end), "right") - 1
-        yield at, end, which, np.minimum(starts[which + 1], end) - at
+        yield at, end, text[at:end], np.minimum(ends[at:end], end) - at
         if end == total:
             break
         at = end - size + 1
 
 
+def anchor_table(docs: DataFrame, windows: Windows) -> DataFrame:
+    """__h of every run of docs (__raw)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raws = [x or b"" for x in as_bytes(batch, "__raw")]
+            for first, last in _bunches(raws):
+                one, _, counts = windows.units(raws[first:last])
+                for lo, hi, _, ends in doc_pieces(counts, windows.size):
+                    h = windows.runs(one[lo:hi], None, ends)[2]
+                    if len(h):
+                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["__h"])
+
+    return docs.select("__raw").mapInArrow(run, "__h long")
+
+
 def run_table(docs: DataFrame, windows: Windows) -> DataFrame:
     """__h (anchor), __c (run), __id, __p (24 bits of the text's hash, first window, windows - 1) of docs (__id, __k, __raw)."""
     id_type = dict(docs.dtypes)["__id"]
@@ -194,7 +211,7 @@ def run_table(docs: DataFrame, windows: Windows) -> DataFrame:
 def _bunches(raws: list[bytes]) -> Iterator[tuple[int, int]]:
     first = held = 0
     for i, raw in enumerate(raws):
-        if held and held + len(raw) > 2 * PIECE:
+        if held and held + len(raw) > PIECE:
             yield first, i
             first, held = i, 0
         held += len(raw)
@@ -221,8 +238,7 @@ KEY = "shiftrightunsigned(__p, 40) AS __k"
 
 
 def classes(runs: DataFrame, within: bool) -> Classes:
-    """``within``: an earlier start in the same document counts, too."""
-    runs = cut(runs)
+    """Of ``runs`` that are written out.  ``within``: an earlier start in the same document counts, too."""
     firsts = runs.groupBy("__h", "__c").agg(F.min(F.struct("__id", "__p")).alias("__first"))
     # written out, so that the join below has an exchange on either side and Spark can split a frequent anchor
     shared = cut(firsts.groupBy("__h").agg(F.count("*").alias("__kinds")).filter("__kinds > 1").select("__h"))

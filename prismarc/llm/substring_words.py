@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut
-from .repeats import U, Windows, classes, keyed, merged, mixed, open_texts, prefix, run_table, spans_hash, with_spans
+from .common import as_bytes, cut, release
+from .repeats import U, Windows, anchor_table, classes, keyed, merged, mixed, open_texts, prefix, run_table, spans_hash, with_spans
 
 GRAM, DEPTH, WIDTH_BITS = 12, 2, 40
 
@@ -71,7 +71,10 @@ def covered_spans(docs: DataFrame, windows: Windows) -> DataFrame:
     """__id, __k, __from, __to in words."""
     comparable = docs.filter(F.col("__id").isNotNull())
     runs = run_table(comparable, windows)
-    found = classes(estimated_twice(runs, runs), within=False)
+    runs = estimated_twice(anchor_table(comparable, windows), runs)
+    runs = cut(runs)
+    release(docs.sparkSession)
+    found = classes(runs, within=False)
     rows = window_rows(open_texts(comparable, found.open), windows)
     first = rows.groupBy("__w1", "__w2").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).filter("__first < __last").drop("__last")
     late = rows.join(first, ["__w1", "__w2"]).filter("__id > __first").selectExpr("__id", "__k", "__from", f"__from + {windows.size} AS __to")

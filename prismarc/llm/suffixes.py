@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut
-from .repeats import U, Windows, classes, keyed, merged, open_texts, run_table, with_spans
+from .common import as_bytes, cut, release
+from .repeats import U, Windows, anchor_table, classes, keyed, merged, open_texts, run_table, with_spans
 
 GRAM, SUFFIXES = 32, 200_000
 
@@ -140,8 +140,9 @@ def run_bytes(texts: DataFrame, size: int) -> DataFrame:
     return one.select("__h", "__id", "__k", "__a", "__n", F.substring("__raw", (F.col("__a") + 1).cast("int"), (F.col("__n") + size).cast("int")).alias("__bytes"))
 
 
-def repeated_anchors(runs: DataFrame, again: DataFrame) -> DataFrame:
-    twice = cut(runs.groupBy("__h").agg(F.count("*").alias("__n")).filter("__n > 1").select("__h"))
+def repeated_anchors(anchors: DataFrame, again: DataFrame) -> DataFrame:
+    """The rows of ``again`` whose anchor ``anchors`` holds twice or more."""
+    twice = cut(anchors.groupBy("__h").agg(F.count("*").alias("__n")).filter("__n > 1").select("__h"))
     return again.join(twice, "__h", "left_semi")
 
 
@@ -149,7 +150,10 @@ def covered_spans(docs: DataFrame, windows: Windows) -> DataFrame:
     """__id, __k, __from, __to in bytes."""
     comparable = docs.filter(F.col("__id").isNotNull())
     runs = run_table(comparable, windows)
-    found = classes(repeated_anchors(runs, runs), within=True)
+    runs = repeated_anchors(anchor_table(comparable, windows), runs)
+    runs = cut(runs)
+    release(docs.sparkSession)
+    found = classes(runs, within=True)
     repeats = repeat_rows(run_bytes(open_texts(comparable, found.open), windows.size), windows.size)
     late = repeats.filter(~F.col("__first")).selectExpr("__id", "__k", "__from", "__from + __length AS __to")
     whole = found.covered.selectExpr("__id", "__k", "__a AS __from", f"__a + __n + {windows.size} AS __to")
