@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -42,8 +43,10 @@ def release(spark: SparkSession) -> None:
 
     Its cleaner acts when the driver's garbage is collected, which may be long after a step's result has been written out.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first collection lets go of is collected by the second
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

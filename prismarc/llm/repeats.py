@@ -5,7 +5,10 @@ row.  Among the grams of ``gram`` units in a window the one with the least hash
 is its anchor (the leftmost of equals), so equal windows have equal anchors at
 the same place, and neighbouring windows mostly share theirs: the windows of a
 text fall into *runs*, one for about every half gram-count of units.  Only runs
-move between machines.  A run is known by the hash of its anchor and by that of
+move between machines.  With ``split`` a run is cut where its windows reach
+further to the left of the anchor than to the right, and the anchor is extended
+by what all windows of a part hold on that side: longer anchors repeat less by
+chance.  A run is known by the hash of its anchor and by that of
 all its units; runs with equal hashes (128 bits together) are a class.
 
 Whatever occurs twice in the corpus occurs in two runs of one anchor, so runs
@@ -123,6 +126,7 @@ class Windows:
     size: int
     gram: int
     words: bool
+    split: bool = False
 
     def units(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(first values, second values, number of units of each text)."""
@@ -149,10 +153,22 @@ class Windows:
         last = np.ones(len(start), bool)
         last[:-1] = ~inside[1:] | (anchor[1:] != anchor[:-1])
         a, b = np.flatnonzero(inside & new), np.flatnonzero(inside & last)
+        at = anchor[a]
+        h = grams[at]
+        if self.split and len(a):
+            half = (size - gram) // 2
+            turn = at - half  # windows from here on the left hold the units from at - half to at + gram, the others those from at to at + gram + half
+            lefts, rights = np.flatnonzero(a <= turn), np.flatnonzero(b > turn)
+            h = np.concatenate([spans_hash(sums, turn[lefts], at[lefts] + gram), ~spans_hash(sums, at[rights], at[rights] + gram + half)])
+            a, b, at = (
+                np.concatenate([a[lefts], np.maximum(a[rights], turn[rights] + 1)]),
+                np.concatenate([np.minimum(b[lefts], turn[lefts]), b[rights]]),
+                np.concatenate([at[lefts], at[rights]]),
+            )
         if two is None:
-            return a, b, grams[anchor[a]], np.zeros(len(a), U)
-        place = (anchor[a] - a).astype(U) << U(16) | (b - a).astype(U)
-        return a, b, grams[anchor[a]], mixed(spans_hash(prefix(two), a, b + size) + place)
+            return a, b, h, np.zeros(len(a), U)
+        place = (at - a).astype(U) << U(16) | (b - a).astype(U)
+        return a, b, h, mixed(spans_hash(prefix(two), a, b + size) + place)
 
 
 def doc_pieces(counts: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -184,9 +200,47 @@ def anchor_table(docs: DataFrame, windows: Windows) -> DataFrame:
     return docs.select("__raw").mapInArrow(run, "__h long")
 
 
-def run_table(docs: DataFrame, windows: Windows) -> DataFrame:
-    """__h (anchor), __c (run), __id, __p (24 bits of the text's hash, first window, windows - 1) of docs (__id, __k, __raw)."""
+#: Bits of the bitmap of repeated anchors (32 MB), whatever the corpus.
+BITMAP = 28
+SLICES = 64
+
+
+def probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (h >> U(64 - BITMAP)).astype(np.int64), (h & U((1 << BITMAP) - 1)).astype(np.int64)
+
+
+def bitmap(anchors: DataFrame) -> bytes:
+    """Two bits set for each __h.  Its size is fixed; full, it prunes less and loses nothing."""
+    width = (1 << BITMAP) // SLICES
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(np.concatenate(probes(batch.column(0).to_numpy(zero_copy_only=False).view(U))))
+            yield pa.RecordBatch.from_arrays([pa.array((at // width).astype(np.int32)), pa.array((at % width).astype(np.int32))], names=["__slice", "__at"])
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            which, at = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+            for k in np.unique(which).tolist():
+                held.setdefault(k, np.zeros(width, bool))[at[which == k]] = True
+        for k, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits).tobytes()])], names=["__slice", "__bits"])
+
+    out = bytearray((1 << BITMAP) // 8)
+    dealt = anchors.select("__h").mapInArrow(places, "__slice int, __at int").repartition(SLICES // 4, "__slice")
+    for k, bits in dealt.mapInArrow(collect, "__slice int, __bits binary").toLocalIterator():
+        out[k * width // 8 : (k + 1) * width // 8] = bits
+    return bytes(out)
+
+
+def run_table(docs: DataFrame, windows: Windows, repeated: DataFrame | None = None) -> DataFrame:
+    """__h (anchor), __c (run), __id, __p (24 bits of the text's hash, first window, windows - 1) of docs (__id, __k, __raw).
+
+    With ``repeated`` (__h), runs that its bitmap excludes stay away.
+    """
     id_type = dict(docs.dtypes)["__id"]
+    sent = None if repeated is None else docs.sparkSession.sparkContext.broadcast(bitmap(repeated))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,6 +251,11 @@ def run_table(docs: DataFrame, windows: Windows) -> DataFrame:
                 starts = np.concatenate([[0], np.cumsum(counts)])
                 for lo, hi, which, ends in doc_pieces(counts, windows.size):
                     a, b, h, c = windows.runs(one[lo:hi], two[lo:hi], ends)
+                    if sent is not None:
+                        bits = np.frombuffer(sent.value, np.uint8)
+                        x, y = probes(h)
+                        some = (bits[x >> 3] >> (7 - (x & 7)) & 1).astype(bool) & (bits[y >> 3] >> (7 - (y & 7)) & 1).astype(bool)
+                        a, b, h, c = a[some], b[some], h[some], c[some]
                     if not len(a):
                         continue
                     doc = which[a]

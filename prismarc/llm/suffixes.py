@@ -140,18 +140,16 @@ def run_bytes(texts: DataFrame, size: int) -> DataFrame:
     return one.select("__h", "__id", "__k", "__a", "__n", F.substring("__raw", (F.col("__a") + 1).cast("int"), (F.col("__n") + size).cast("int")).alias("__bytes"))
 
 
-def repeated_anchors(anchors: DataFrame, again: DataFrame) -> DataFrame:
-    """The rows of ``again`` whose anchor ``anchors`` holds twice or more."""
-    twice = cut(anchors.groupBy("__h").agg(F.count("*").alias("__n")).filter("__n > 1").select("__h"))
-    return again.join(twice, "__h", "left_semi")
+def repeated_anchors(anchors: DataFrame) -> DataFrame:
+    """The anchors (__h) that occur twice or more."""
+    return cut(anchors.groupBy("__h").agg(F.count("*").alias("__n")).filter("__n > 1").select("__h"))
 
 
 def covered_spans(docs: DataFrame, windows: Windows) -> DataFrame:
     """__id, __k, __from, __to in bytes."""
     comparable = docs.filter(F.col("__id").isNotNull())
-    runs = run_table(comparable, windows)
-    runs = repeated_anchors(anchor_table(comparable, windows), runs)
-    runs = cut(runs)
+    twice = repeated_anchors(anchor_table(comparable, windows))
+    runs = cut(run_table(comparable, windows, twice).join(twice, "__h", "left_semi"))
     release(docs.sparkSession)
     found = classes(runs, within=True)
     repeats = repeat_rows(run_bytes(open_texts(comparable, found.open), windows.size), windows.size)
@@ -162,7 +160,7 @@ def covered_spans(docs: DataFrame, windows: Windows) -> DataFrame:
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100, keep_text: bool = False) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes and removed spans."""
-    windows = Windows(size, min(GRAM, size), False)
+    windows = Windows(size, min(GRAM, size), False, True)
     every = keyed(docs, id_col, text_col)
     joined = with_spans(every, covered_spans(every, windows)).select("__id", "__raw", "__spans")
 
@@ -199,7 +197,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     every = docs.select("*", *[F.col(c).alias(n) for c, n in ((id_col, "__id"), (text_col, "__raw"))])
     every = every.withColumn("__raw", F.coalesce(F.col("__raw").cast("binary"), F.lit(b"")))
     every = every.withColumn("__k", F.xxhash64("__raw").bitwiseAND(0xFFFFFF))
-    joined = with_spans(every, covered_spans(every.select("__id", "__k", "__raw"), Windows(size, min(GRAM, size), False)))
+    joined = with_spans(every, covered_spans(every.select("__id", "__k", "__raw"), Windows(size, min(GRAM, size), False, True)))
     names = docs.columns
     spoiled = joined.filter(F.col("__spans").isNotNull())
 
