@@ -56,3 +56,24 @@ def group_id(kind: str, digest: Column) -> Column:
 def null_masked_sum(c: Column) -> Column:
     """Null if any part is unknown."""
     return F.when(F.count(c) == F.count(F.lit(1)), F.sum(c))
+
+
+def byte_bounded(c: Column, size: int) -> Column:
+    """At most ``size`` bytes of UTF-8; a character that would be cut is dropped."""
+    fits = F.filter(F.sequence(F.lit(0), F.lit(size)), lambda i: F.octet_length(F.substr(c, F.lit(1), i)) <= size)
+    return F.substr(c, F.lit(1), F.array_max(fits))
+
+
+def display_title(c: Column) -> Column:
+    """Markdown links become their text, URLs go, then edge punctuation."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(c, r"!?\[([^\[\]]*)\]\([^()]*\)", "$1"), r"https?://[^ \t\n\r]+", ""), F.lit(" -|:*#"))
+
+
+def cursor(c: Column) -> Column:
+    """URL-safe base64 without padding or line breaks."""
+    return F.translate(F.regexp_replace(F.base64(F.encode(c, "UTF-8")), "[=\r\n]", ""), "+/", "-_")
+
+
+def cursor_text(c: Column) -> Column:
+    plain = F.translate(c, "-_", "+/")
+    return F.decode(F.unbase64(F.rpad(plain, (F.ceil(F.length(plain) / 4) * 4).cast("int"), F.lit("="))), "UTF-8")

@@ -42,3 +42,60 @@ def representatives(rows: DataFrame, key: str, id_col: str) -> DataFrame:
 
 def session_of(df: DataFrame) -> SparkSession:
     return df.sparkSession
+
+
+def resolve_aliases(links: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node, root, hops, cyclic) for every child: the end of its chain of parents.  A child has one parent.
+
+    Pointers are doubled, so rounds grow with the logarithm of the longest chain.  A chain that takes more hops than there
+    are children never ends: such nodes get a null root and hops, and cyclic true.
+    """
+    at = written(links.select(F.col(child).alias("node"), F.col(parent).alias("root"), F.lit(1).cast("long").alias("hops")))
+    limit = at.count()
+    while True:
+        far = at.select(F.col("node").alias("root"), F.col("root").alias("next"), F.col("hops").alias("more"))
+        at = written(at.join(far, "root", "left").select("node", F.coalesce("next", "root").alias("root"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("next").isNotNull().alias("open")))
+        if not at.filter(f"open AND hops <= {limit}").limit(1).count():
+            ends = F.col("hops") <= limit
+            return at.select("node", F.when(ends, F.col("root")).alias("root"), F.when(ends, F.col("hops")).alias("hops"), (~ends).alias("cyclic"))
+        at = at.drop("open")
+
+
+def absorb_sets(members: DataFrame, set_col: str, item_col: str) -> DataFrame:
+    """(set id, by): the sets that lie within another one, with the least set id among the largest that hold them.
+
+    Of equal sets the least id holds the others.  Distinct sets meet over the rarest item of the smaller one, so a
+    frequent item links only the sets that have no rarer one.
+    """
+    rows = written(members.select(F.col(set_col).alias("s"), F.col(item_col).alias("x")).filter("s IS NOT NULL AND x IS NOT NULL").distinct())
+    sets = rows.groupBy("s").agg(F.count("*").alias("size"), F.sha2(F.array_join(F.array_sort(F.collect_list("x")).cast("array<string>"), "\0"), 256).alias("h"))
+    sets = written(sets)
+    firsts = sets.groupBy("h").agg(F.min("s").alias("first"), F.min("size").alias("size"))
+    equal = sets.join(firsts.select("h", "first"), "h").select("s", "first")
+    kept = written(rows.join(firsts.select(F.col("first").alias("s"), "size"), "s"))
+    found = kept.groupBy("x").agg(F.count("*").alias("often"))
+    rare = kept.join(found, "x").groupBy("s").agg(F.min_by("x", F.struct("often", "x")).alias("x"))
+    over = rare.join(kept.select(F.col("s").alias("by"), "x", F.col("size").alias("bigger")), "x").join(firsts.select(F.col("first").alias("s"), "size"), "s").filter("bigger > size").select("s", "by", "size", "bigger")
+    shared = over.join(kept.select("s", "x"), "s").join(kept.select(F.col("s").alias("by"), "x"), ["by", "x"]).groupBy("s", "by", "size", "bigger").agg(F.count("*").alias("met"))
+    holder = shared.filter("met = size").groupBy("s").agg(F.min_by("by", F.struct(-F.col("bigger"), F.col("by"))).alias("by"))
+    joined = equal.join(holder.withColumnRenamed("s", "first"), "first", "left").select("s", F.coalesce("by", F.when(F.col("s") != F.col("first"), F.col("first"))).alias("by"))
+    return joined.filter("by IS NOT NULL").select(F.col("s").alias(set_col), "by")
+
+
+def keep_unmatched(rows: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
+    """(id, kept): walking by id, a row stays unless a row that stays has one of its keys (null keys match none).
+
+    A row that is the least undecided one for all its keys stays; rows that share a key with it go.  Decisions are not
+    passed on through rows that go, so this isn't the components' least rows.
+    """
+    pairs = written(rows.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(k).cast("string").alias("v")) for i, k in enumerate(keys)])).alias("p")).select("id", "p.k", "p.v").filter("v IS NOT NULL"))
+    decided = rows.select(F.col(id_col).alias("id")).join(pairs.select("id"), "id", "left_anti").withColumn("kept", F.lit(True))
+    while pairs.limit(1).count():
+        least = pairs.groupBy("k", "v").agg(F.min("id").alias("least"))
+        stay = written(pairs.join(least, ["k", "v"]).groupBy("id").agg(F.every(F.col("id") == F.col("least")).alias("kept")).filter("kept"))
+        taken = pairs.join(stay.select("id"), "id", "left_semi").select("k", "v").distinct()
+        gone = pairs.join(taken, ["k", "v"], "left_semi").select("id").distinct().join(stay, "id", "left_anti").withColumn("kept", F.lit(False))
+        closed = written(stay.unionByName(gone))
+        decided = decided.unionByName(closed)
+        pairs = written(pairs.join(closed, "id", "left_anti"))
+    return decided.select(F.col("id").alias(id_col), "kept")

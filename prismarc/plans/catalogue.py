@@ -2,38 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import text as X
-from ..operators import graph, vectors
+from ..operators import graph, ranking, vectors
 from ..streaming import windows
+from . import fields, links, states
+from .register import n, oracle_sql, queries, query, t
 
-Query = Callable[[SparkSession, str], DataFrame]
-_found: dict[str, Query] = {}
-_sql: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _found[f.__name__] = f
-        if sql:
-            _sql[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def n() -> F.Column:
-    return F.count(F.lit(1))
-
+__all__ = ["fields", "flagship", "links", "oracle_sql", "queries", "states"]
 
 # groups of equal rows
 
@@ -332,7 +311,8 @@ def hash_chain(spark, d):
 def priority_rank(spark, d):
     rows = t(spark, d, "documents").select("doc_id", "source", "n_chars").join(t(spark, d, "labels"), "doc_id", "left")
     tier = F.when(F.col("quality") == 1, 1).when(F.col("quality") == 0, 3).otherwise(2)
-    return rows.select("doc_id", "source", F.row_number().over(W.partitionBy("source").orderBy(tier, F.desc("n_chars"), "doc_id")).cast("long").alias("rank_index"))
+    keyed = rows.select("doc_id", "source", tier.alias("tier"), (-F.col("n_chars")).alias("short"))
+    return ranking.ranks(keyed, ["source"], ["tier", "short", "doc_id"], "rank_index").select("doc_id", "source", "rank_index")
 
 
 @query("""SELECT user_id, session, count(*) AS events, min(ts) AS began FROM (SELECT *, CAST(sum(g) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS session FROM
@@ -502,11 +482,3 @@ def hamming_banded_pairs(spark, d):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_group_rollup(spark, sf_dir)
-
-
-def queries() -> dict[str, Query]:
-    return dict(_found)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
