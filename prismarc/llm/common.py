@@ -72,6 +72,12 @@ def slices(batches: Iterator[pa.RecordBatch], name: str, most: int) -> Iterator[
             yield batch.slice(start)
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns named by place, so that none clashes with a name used here; and the new names.  ``toDF`` turns it back."""
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def null_key(name: str):
     """A string that orders and joins as the column does, null apart from every value."""
     return F.coalesce(F.concat(F.lit("v"), F.col(name).cast("string")), F.lit("n"))

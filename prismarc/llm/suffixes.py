@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, release
+from .common import as_bytes, cut, release, renamed
 from .repeats import U, Windows, anchor_table, classes, keyed, merged, open_texts, run_table, with_spans
 
 GRAM, SUFFIXES = 32, 200_000
@@ -194,6 +194,9 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Spans shrink to whole characters, so the texts stay valid UTF-8.  ``chars_col``, if there is such a column, is counted anew.
     """
+    own_names = docs.columns
+    docs, at_place = renamed(docs)
+    id_col, text_col, chars_col = (at_place.get(c, c) for c in (id_col, text_col, chars_col))
     every = docs.select("*", *[F.col(c).alias(n) for c, n in ((id_col, "__id"), (text_col, "__raw"))])
     every = every.withColumn("__raw", F.coalesce(F.col("__raw").cast("binary"), F.lit(b"")))
     every = every.withColumn("__k", F.xxhash64("__raw").bitwiseAND(0xFFFFFF))
@@ -226,4 +229,4 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cleaned = spoiled.select(*docs.columns, "__raw", "__spans").mapInArrow(run, docs.schema).filter(F.col(text_col) != "")
     if chars_col in docs.columns:
         cleaned = cleaned.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType))
-    return joined.filter(F.col("__spans").isNull()).select(*docs.columns).unionByName(cleaned)
+    return joined.filter(F.col("__spans").isNull()).select(*docs.columns).unionByName(cleaned).toDF(*own_names)
