@@ -10,8 +10,11 @@ Gumbel top-k: those with the k largest values of weight / temperature + Gumbel
 noise stay, with k the number of documents whose weight passes the threshold
 that parts the labelled rows best.
 
+A text's repeats of a word count by their number, in levels (1, 2, 4, 8 and more
+and so on), each of which is an n-gram that a text has once.
+
 N-grams without evidence have weight 0: a ratio counts only where ``docs``
-labelled rejects or more hold the n-gram and their share is ``times`` that of
+labelled rejects or more (for a level of repeats two) hold the n-gram and their share is ``times`` that of
 the labelled targets.  Near copies among the labelled rows count once there
 (three MinHash values of five-word shingles).
 
@@ -37,7 +40,7 @@ from .common import as_bytes, cut, renamed, slices
 from .repeats import U, mixed, prefix, spans_hash, word_hashes
 
 BITS, ORDERS, SAMPLE, DOCS, TIMES, TEMPERATURE, SEED = 22, (1,), 20_000, 5, 10.0, 0.1, 7
-BLOCKS = 64
+BLOCKS, LEVELS = 64, 16
 THRESHOLDS = (-1.0, -2.0, -3.0, -5.0, -8.0)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -45,7 +48,8 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 def buckets(raws: list[bytes], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text) of every n-gram of every text; each order has its own hash.
 
-    A word said three times in a row is an n-gram of its own, whatever the word (bucket 0).
+    A word said three times in a row counts as a repeat, whatever the word.  Bucket k < ``LEVELS`` is in a text once
+    if that has 2**k repeats or more, so junk of repeats is told from prose that has one.
     """
     hashes, counts = word_hashes([r.translate(_LOWER) for r in raws])
     which = np.repeat(np.arange(len(raws)), counts)
@@ -58,8 +62,10 @@ def buckets(raws: list[bytes], orders: tuple[int, ...], bits: int) -> tuple[np.n
         texts.append(which[at])
     at = np.arange(max(0, len(hashes) - 2))
     at = at[(hashes[at] == hashes[at + 1]) & (hashes[at] == hashes[at + 2]) & (which[at] == which[at + 2])]
-    found.append(np.zeros(len(at), np.int64))
-    texts.append(which[at])
+    repeats = np.bincount(which[at], minlength=len(raws))
+    for level in range(LEVELS):
+        texts.append(np.flatnonzero(repeats >= 1 << level))
+        found.append(np.full(len(texts[-1]), level, np.int64))
     return np.concatenate(found), np.concatenate(texts)
 
 
@@ -138,7 +144,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, s
         F.coalesce(F.sum(F.when(F.col("__good"), F.col("__count"))), F.lit(0)).alias("__target"), F.count_if("__good").alias("__in_good"), F.count_if(~F.col("__good")).alias("__in_bad")
     )
     often = (F.col("__in_bad") + 0.5) / (n_bad + 1) / ((F.col("__in_good") + 0.5) / (n_good + 1))
-    by = by.withColumn("__evident", (F.col("__in_bad") >= max(least, n_bad / 500)) & (often >= times))
+    # there are few levels of repeats, so chance makes none evident that two rejects have
+    enough = F.when(F.col("__bucket") < LEVELS, max(min(least, 2), n_bad / 500)).otherwise(max(least, n_bad / 500))
+    by = by.withColumn("__evident", (F.col("__in_bad") >= enough) & (often >= times))
     words = by.agg(F.sum("__target")).first()[0] or 0
     # at most one bucket for every fifty words of the sample, and those with evidence: bounded as the sample is
     stats = by.filter((F.col("__target") >= 50) | F.col("__evident")).select("__bucket", "__target", "__evident").toArrow()
