@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, renamed, slices
 from .repeats import U, mixed, prefix, spans_hash, word_hashes
 
 LEAST, COVER, BLOCK = 5, 0.5, 4 << 20
@@ -186,6 +186,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` whose id no item covers.  Rows with a null id stay."""
-    gone = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of ``docs`` whose text no item covers.  Rows with a null id stay.
+
+    Texts are judged, not ids: where an id repeats with different texts, only those that hold an item go.  Repeated rows
+    all stay or all go.
+    """
+    plain, at = renamed(docs)
+    text = F.sha2(F.col(at[text_col]).cast("binary"), 256)
+    known = plain.filter(F.col(at[id_col]).isNotNull()).select(text.alias("__hash"), F.col(at[text_col]).alias("__words"))
+    gone = contaminated(known, benchmark, "__hash", "__words", **options).select(F.col("__hash").alias("__gone")).distinct()
+    return plain.join(gone, F.col(at[id_col]).isNotNull() & (text == F.col("__gone")), "left_anti").toDF(*docs.columns)
