@@ -424,7 +424,8 @@ def watermark_windows(spark, d):
     """Hourly counts of the events as a stream with a watermark, run to the end of the input."""
     schema = t(spark, d, "events").schema
     name = "prismarc_windows"
-    out = windows.run_to_memory(windows.windowed_counts(windows.event_stream(spark, f"{d}/events.parquet*", schema)), name)
+    # append would hold back the windows that the watermark has not passed when the input ends
+    out = windows.run_to_memory(windows.windowed_counts(windows.event_stream(spark, f"{d}/events.parquet*", schema)), name, "complete")
     return out.select("window.start", "event_type", "n", "total")
 
 
