@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -21,36 +19,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one is set only where none is (tests)."""
+    """The shared folder of the session; one is set only where none is and the session is a local one (tests)."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster the operators need a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="prismarc-")
         spark.conf.set("spark.checkpoint.dir", found)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder, so that lost executors cost nothing upstream."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders that ``cut`` and ``fresh_path`` made and nobody has deleted yet.
+_alive: list[str] = []
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps that nothing refers to any more.
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again, so that lost executors cost nothing upstream.
 
-    Its cleaner acts when the driver's garbage is collected, which may be long after a step's result has been written out.
+    The shuffle files of the write go with its end, the table goes with ``drop`` or ``sweep``.
     """
-    for _ in range(2):  # what the first collection lets go of is collected by the second
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    spark = df.sparkSession
+    path = fresh_path(spark, "cut")
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df._table)
+
+
+def mark() -> int:
+    """A point to ``sweep`` back to."""
+    return len(_alive)
+
+
+def sweep(spark: SparkSession, since: int = 0, *keep: DataFrame) -> None:
+    """Delete the folders made since ``mark`` but those of ``keep``; for when the result that reads them has been written."""
+    for path in _alive[since:]:
+        if path not in [df._table for df in keep]:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if path in _alive:
+        _alive.remove(path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _alive.append(path)
+    return path
 
 
 def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:

@@ -17,17 +17,23 @@ its class is covered as a whole.  What is left to compare, window by window, are
 the first runs of the classes that share an anchor: the ends of repeated
 passages.
 
+Words are hashed by a chain that mixes eight bytes after eight, with two seeds
+for the two halves of the 128 bits; a polynomial over letters would give long
+words of Thue-Morse letters one value.  Polynomials are used over the hashes of
+at most a few hundred units only, where they are no danger.
+
 Documents are told apart by id and 24 bits of the hash of their text.  Rows with
 a null id are compared with nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,16 +82,43 @@ _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of words of each text)."""
-    found, counts = [], np.zeros(len(raws), np.int64)
+#: Words of more bytes are hashed one by one.
+LONG = 256
+_HEADS = U((1 << 64) - 1) >> (U(64) - U(8) * np.arange(1, 9, dtype=U))
+
+
+def chained(buf: bytes, a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of the words buf[a:b]: eight bytes are mixed in after eight, so words of up to eight bytes and one length never collide.
+
+    ``buf`` has eight bytes more than the last word.
+    """
+    eight = np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))
+    size = b - a
+    out = mixed(size.astype(U) * U(_Q) + U(seed))
+    who, at, left = np.arange(len(a)), a, size
+    for _ in range(LONG // 8):
+        out[who] = mixed(out[who] ^ (eight[at] & _HEADS[np.minimum(left, 8) - 1]))
+        more = left > 8
+        if not more.any():
+            return out
+        who, at, left = who[more], at[more] + 8, left[more] - 8
+    for i in who.tolist():
+        out[i] = xxhash.xxh64_intdigest(buf[a[i] : b[i]], seed)
+    return out
+
+
+def word_hashes(raws: list[bytes], seeds: tuple[int, ...] = (42,)) -> tuple[np.ndarray, ...]:
+    """(hash of every word for each seed, ..., number of words of each text)."""
+    found: list[list[np.ndarray]] = [[] for _ in seeds]
+    counts = np.zeros(len(raws), np.int64)
 
     def work(part: bytes, starts_of: np.ndarray, first: int) -> None:
-        buf = np.frombuffer(part, np.uint8)
-        gap = _SEPARATOR[buf]
+        gap = _SEPARATOR[np.frombuffer(part, np.uint8)]
         a = np.flatnonzero(~gap & np.concatenate([[True], gap[:-1]]))
         b = np.flatnonzero(~gap & np.concatenate([gap[1:], [True]])) + 1
-        found.append(spans_hash(prefix(BYTE_1[buf]), a, b) + (b - a).astype(U))
+        padded = part + bytes(8)
+        for own, seed in zip(found, seeds, strict=True):
+            own.append(chained(padded, a, b, seed))
         np.add.at(counts, first + np.searchsorted(starts_of, a, "right") - 1, 1)
 
     i = 0
@@ -108,7 +141,7 @@ def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             starts = np.cumsum([0] + [len(x) + 1 for x in raws[i : j - 1]])
             work(b"\n".join(raws[i:j]), starts, i)
         i = j
-    return (np.concatenate(found) if found else np.zeros(0, U)), counts
+    return *[np.concatenate(own) if own else np.zeros(0, U) for own in found], counts
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -128,11 +161,11 @@ class Windows:
     words: bool
     split: bool = False
 
-    def units(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first values, second values, number of units of each text)."""
+    def units(self, raws: list[bytes], second: bool = True) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+        """(first values, second values if wanted, number of units of each text)."""
         if self.words:
-            h, counts = word_hashes(raws)
-            return mixed(h), mixed(h + U(0x5851F42D4C957F2D)), counts
+            one, *two, counts = word_hashes(raws, (42, 4242) if second else (42,))
+            return one, two[0] if two else None, counts
         buf = np.frombuffer(b"".join(raws), np.uint8)
         return BYTE_1[buf], BYTE_2[buf], np.array([len(x) for x in raws], np.int64)
 
@@ -184,18 +217,24 @@ def doc_pieces(counts: np.ndarray, size: int) -> Iterator[tuple[int, int, np.nda
         at = end - size + 1
 
 
+def anchors(batches: Iterator[pa.RecordBatch], windows: Windows) -> Iterator[np.ndarray]:
+    """The anchor hash of every run of the texts (__raw, the first column)."""
+    for batch in batches:
+        raws = [x or b"" for x in as_bytes(batch, "__raw")]
+        for first, last in _bunches(raws):
+            one, _, counts = windows.units(raws[first:last], second=False)
+            for lo, hi, _, ends in doc_pieces(counts, windows.size):
+                h = windows.runs(one[lo:hi], None, ends)[2]
+                if len(h):
+                    yield h
+
+
 def anchor_table(docs: DataFrame, windows: Windows) -> DataFrame:
     """__h of every run of docs (__raw)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raws = [x or b"" for x in as_bytes(batch, "__raw")]
-            for first, last in _bunches(raws):
-                one, _, counts = windows.units(raws[first:last])
-                for lo, hi, _, ends in doc_pieces(counts, windows.size):
-                    h = windows.runs(one[lo:hi], None, ends)[2]
-                    if len(h):
-                        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["__h"])
+        for h in anchors(batches, windows):
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["__h"])
 
     return docs.select("__raw").mapInArrow(run, "__h long")
 
@@ -203,13 +242,14 @@ def anchor_table(docs: DataFrame, windows: Windows) -> DataFrame:
 #: Bits of the bitmap of repeated anchors (32 MB), whatever the corpus.
 BITMAP = 28
 SLICES = 64
+Test = Callable[[np.ndarray], np.ndarray]
 
 
 def probes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (h >> U(64 - BITMAP)).astype(np.int64), (h & U((1 << BITMAP) - 1)).astype(np.int64)
 
 
-def bitmap(anchors: DataFrame) -> bytes:
+def bitmap(found: DataFrame) -> bytes:
     """Two bits set for each __h.  Its size is fixed; full, it prunes less and loses nothing."""
     width = (1 << BITMAP) // SLICES
 
@@ -228,19 +268,30 @@ def bitmap(anchors: DataFrame) -> bytes:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits).tobytes()])], names=["__slice", "__bits"])
 
     out = bytearray((1 << BITMAP) // 8)
-    dealt = anchors.select("__h").mapInArrow(places, "__slice int, __at int").repartition(SLICES // 4, "__slice")
+    dealt = found.select("__h").mapInArrow(places, "__slice int, __at int").repartition(SLICES // 4, "__slice")
     for k, bits in dealt.mapInArrow(collect, "__slice int, __bits binary").toLocalIterator():
         out[k * width // 8 : (k + 1) * width // 8] = bits
     return bytes(out)
 
 
-def run_table(docs: DataFrame, windows: Windows, repeated: DataFrame | None = None) -> DataFrame:
-    """__h (anchor), __c (run), __id, __p (24 bits of the text's hash, first window, windows - 1) of docs (__id, __k, __raw).
+def bit_test(bits: bytes, at: np.ndarray) -> np.ndarray:
+    return (np.frombuffer(bits, np.uint8)[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
 
-    With ``repeated`` (__h), runs that its bitmap excludes stay away.
-    """
+
+def among(found: DataFrame) -> Test:
+    """A test for the anchors __h of ``found``, by their bitmap."""
+    sent = found.sparkSession.sparkContext.broadcast(bitmap(found))
+
+    def test(h: np.ndarray) -> np.ndarray:
+        x, y = probes(h)
+        return bit_test(sent.value, x) & bit_test(sent.value, y)
+
+    return test
+
+
+def run_table(docs: DataFrame, windows: Windows, wanted: Test) -> DataFrame:
+    """__h (anchor), __c (run), __id, __p (24 bits of the text's hash, first window, windows - 1) of docs (__id, __k, __raw), of ``wanted`` anchors."""
     id_type = dict(docs.dtypes)["__id"]
-    sent = None if repeated is None else docs.sparkSession.sparkContext.broadcast(bitmap(repeated))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,11 +302,8 @@ def run_table(docs: DataFrame, windows: Windows, repeated: DataFrame | None = No
                 starts = np.concatenate([[0], np.cumsum(counts)])
                 for lo, hi, which, ends in doc_pieces(counts, windows.size):
                     a, b, h, c = windows.runs(one[lo:hi], two[lo:hi], ends)
-                    if sent is not None:
-                        bits = np.frombuffer(sent.value, np.uint8)
-                        x, y = probes(h)
-                        some = (bits[x >> 3] >> (7 - (x & 7)) & 1).astype(bool) & (bits[y >> 3] >> (7 - (y & 7)) & 1).astype(bool)
-                        a, b, h, c = a[some], b[some], h[some], c[some]
+                    some = wanted(h)
+                    a, b, h, c = a[some], b[some], h[some], c[some]
                     if not len(a):
                         continue
                     doc = which[a]
@@ -286,52 +334,106 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 @dataclass
 class Classes:
-    """``covered``: __id, __k, __a, __n of runs that an earlier equal run covers.  ``open``: __h, __id, __k, __a, __n of runs to compare."""
+    """``covered``: __id, __k, __a, __n of runs that an earlier equal run covers.  ``open``: __h, __id, __k, __a, __n, __hot of runs to compare."""
 
     covered: DataFrame
     open: DataFrame
+    tables: tuple[DataFrame, ...]
 
 
 START, COUNT = "shiftrightunsigned(shiftleft(__p, 24), 32) AS __a", "__p & 255 AS __n"
 KEY = "shiftrightunsigned(__p, 40) AS __k"
+#: Anchors with more kinds of run than ``HOT`` are hot, ``HOTTEST`` at most: one beyond these has under 1 / HOTTEST of all runs.
+HOT, HOTTEST = 2_048, 65_536
 
 
 def classes(runs: DataFrame, within: bool) -> Classes:
-    """Of ``runs`` that are written out.  ``within``: an earlier start in the same document counts, too."""
-    firsts = runs.groupBy("__h", "__c").agg(F.min(F.struct("__id", "__p")).alias("__first"))
-    # written out, so that the join below has an exchange on either side and Spark can split a frequent anchor
-    shared = cut(firsts.groupBy("__h").agg(F.count("*").alias("__kinds")).filter("__kinds > 1").select("__h"))
-    told = runs.join(firsts, ["__h", "__c"])
-    later = F.col("__id") > F.col("__first.__id")
-    if within:
-        later = later | (F.col("__p") != F.col("__first.__p"))
-    covered = told.filter(later).selectExpr("__id", KEY, START, COUNT)
-    rest = told.filter(~later).join(shared, "__h", "left_semi").selectExpr("__h", "__id", KEY, START, COUNT)
-    return Classes(covered, rest)
-
-
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs (__id, __k, __raw, ...) with __spans, the covered (__from, __to) of each; of bounded length, as they lie in one text.
-
-    Rows with an id are joined just as ``open_texts`` joins them, so one exchange of the texts serves both.
+    """Of ``runs`` that are written out.  ``within``: an earlier start in the same document counts, too.
+
+    No class and no frequent anchor ever meets in a task: the first run of a class is an aggregate, and its other runs are
+    those that aren't the first, by a join on the whole row; the anchors with many kinds of run are sent to all tasks.
     """
+    least = F.struct("__id", "__p") if within else F.struct("__id")
+    firsts = cut(runs.groupBy("__h", "__c").agg(F.min(least).alias("__first")).select("__h", "__c", "__first.*"))
+    kinds = cut(firsts.groupBy("__h").agg(F.count("*").alias("__kinds")).filter("__kinds > 1"))
+    hot = F.broadcast(kinds.filter(F.col("__kinds") > HOT).orderBy(F.desc("__kinds"), "__h").limit(HOTTEST).select("__h"))
+    row = list(firsts.columns)
+    covered = runs.join(firsts, row, "left_anti").selectExpr("__id", KEY, START, COUNT)
+    rest = firsts if within else runs.join(firsts, row, "left_semi")
+    cold = rest.join(hot, "__h", "left_anti").join(kinds.select("__h"), "__h", "left_semi").withColumn("__hot", F.lit(False))
+    every = cold.unionByName(rest.join(hot, "__h", "left_semi").withColumn("__hot", F.lit(True)))
+    return Classes(covered, every.selectExpr("__h", "__id", KEY, START, COUNT, "__hot"), (firsts, kinds))
+
+
+def window_rows(texts: DataFrame, windows: Windows) -> DataFrame:
+    """__w1, __w2 (hashes), __id, __k, __from of every window in the open runs (__runs)."""
+
+    def hashes(raw: bytes, a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sums = np.cumsum(n + 1)
+        start = np.repeat(a, n + 1) + np.arange(int(sums[-1])) - np.repeat(sums - (n + 1), n + 1)
+        if windows.words:
+            start = np.unique(start)
+            one, two, _ = windows.units([raw])
+            at = start
+        else:  # only the bytes of the runs are looked at
+            own = [raw[x : x + k + windows.size] for x, k in zip(a.tolist(), n.tolist(), strict=True)]
+            one, two, sizes = windows.units(own)
+            at = np.repeat(np.cumsum(sizes) - sizes, n + 1) + start - np.repeat(a, n + 1)
+        w1, w2 = (spans_hash(prefix(x), at, at + windows.size) for x in (one, two))
+        return start, mixed(w1 + U(1)), w2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(batch.schema.get_field_index("__runs"))
+            for i, raw in enumerate(as_bytes(batch, "__raw")):
+                own = lists.slice(i, 1).flatten()
+                start, w1, w2 = hashes(raw, *(own.field(f).to_numpy(zero_copy_only=False) for f in ("__a", "__n")))
+                same = pa.array(np.zeros(len(start), np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), batch.column(0).slice(i, 1).take(same), batch.column(1).slice(i, 1).take(same), pa.array(start)],
+                    names=["__w1", "__w2", "__id", "__k", "__from"],
+                )
+
+    kind = dict(texts.dtypes)["__id"]
+    return texts.select("__id", "__k", "__raw", "__runs").mapInArrow(run, f"__w1 long, __w2 long, __id {kind}, __k long, __from long")
+
+
+def later_windows(rows: DataFrame, within: bool) -> DataFrame:
+    """The ``rows`` of window_rows with an earlier equal one; of equal windows none meet in a task."""
+    least = F.struct("__id", "__k", "__from") if within else F.struct("__id")
+    first = rows.groupBy("__w1", "__w2").agg(F.min(least).alias("__first")).select("__w1", "__w2", "__first.*")
+    return rows.join(first, first.columns, "left_anti")
+
+
+def span_lists(spans: DataFrame) -> DataFrame:
+    """__id, __k, __spans: the disjoint covered (__from, __to) of each text, in order, written out."""
     lists = spans.groupBy("__id", "__k").agg(F.collect_set(F.struct("__from", "__to")).alias("__spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(2)
+            found = []
+            for i in range(batch.num_rows):
+                own = column.slice(i, 1).flatten()
+                a, b = (own.field(f).to_numpy(zero_copy_only=False) for f in ("__from", "__to"))
+                order = np.argsort(a, kind="stable")
+                a, b = a[order], np.maximum.accumulate(b[order])
+                new = np.concatenate([[True], a[1:] > b[:-1]])
+                last = np.concatenate([new[1:], [True]])
+                found.append([{"__from": x, "__to": y} for x, y in zip(a[new].tolist(), b[last].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, column.type)], names=["__id", "__k", "__spans"])
+
+    return cut(lists.mapInArrow(run, lists.schema))
+
+
+def with_spans(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """docs (__id, __k, ...) with __spans, null where nothing is covered.  Rows without an id stay away from the join."""
     told = docs.filter(F.col("__id").isNotNull()).join(lists, ["__id", "__k"], "left")
     rest = docs.filter(F.col("__id").isNull()).withColumn("__spans", F.lit(None).cast(lists.schema["__spans"].dataType))
     return told.select(*docs.columns, "__spans").unionByName(rest)
 
 
 def open_texts(docs: DataFrame, rest: DataFrame) -> DataFrame:
-    """docs (__id, __k, __raw) that have open runs, with their list __runs (__h, __a, __n)."""
-    lists = rest.groupBy("__id", "__k").agg(F.collect_list(F.struct("__h", "__a", "__n")).alias("__runs"))
+    """docs (__id, __k, __raw) that have open runs, with their list __runs (__h, __a, __n, __hot)."""
+    lists = rest.groupBy("__id", "__k").agg(F.collect_list(F.struct("__h", "__a", "__n", "__hot")).alias("__runs"))
     return docs.join(lists, ["__id", "__k"])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, slices
+from .common import as_bytes, cut, drop, slices
 
 MOST, SEGMENTS, GROUP = 4, 9, 20_000
 WIDTHS = (8, 7, 7, 7, 7, 7, 7, 7, 7)
@@ -195,7 +195,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         small = large.join(least(large), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = cut(small.filter("u <> v").distinct())
+        last, edges = edges, cut(small.filter("u <> v").distinct())
+        drop(last)
         now = state(edges)
         if now == before:
             break

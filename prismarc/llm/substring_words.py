@@ -1,12 +1,16 @@
 """Exact substring deduplication over words, behind a count-min sketch.
 
-First pass: the anchors of all windows (see ``repeats``) are counted in a
-count-min sketch.  Each partition counts its own cells, sparse, and the
-partition sketches are merged by cell, so the sketch grows with the corpus and
-lies on no single machine.  An estimate is the least of ``depth`` cells and
-never below the true count.  Second pass: only runs of windows whose anchor is
-estimated to occur twice are kept, and windows are grouped exactly, by 128 bits
-of hash, first run by run and then window by window.  Nothing is lost.
+First pass: the windows of all documents are counted in a count-min sketch, by
+their anchors (see ``repeats``): equal windows have equal anchors, so an
+anchor's count is never below the count of a window that it anchors, and one
+update serves all windows of a run.  Each partition fills a dense sketch of
+``DEPTH`` rows of ``2**WIDTH`` cells that stop at two; the partitions' sketches
+are merged slice by slice, and of the merged one a bit a cell (estimated twice
+or more) goes to every task: 8 MB, whatever the corpus.  An estimate is the
+least of an anchor's cells, never below the true count.  Second pass: only runs
+of windows that are estimated to occur twice are kept, and windows are grouped
+exactly, by 128 bits of hash, first run by run and then window by window.  A
+full sketch prunes less, and nothing is ever lost.
 
 A word is removed if a window of ``size`` words that covers it also starts in a
 document with a smaller id.  Null texts have no words; texts shorter than a
@@ -24,62 +28,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, release
-from .repeats import U, Windows, anchor_table, classes, keyed, merged, mixed, open_texts, prefix, run_table, spans_hash, with_spans
+from .common import as_bytes, cut, drop
+from .repeats import SLICES, Test, U, Windows, anchors, bit_test, classes, keyed, later_windows, mixed, open_texts, run_table, span_lists, window_rows, with_spans
 
-GRAM, DEPTH, WIDTH_BITS = 12, 2, 40
+GRAM, DEPTH, WIDTH = 12, 2, 25
 
 
-def cell(row: int, bits: int):
-    return F.shiftrightunsigned(F.xxhash64("__h", F.lit(row)), 64 - bits)
+def cell(h: np.ndarray, row: int, width: int) -> np.ndarray:
+    """The cell of each hash in a row of the sketch."""
+    return (mixed(h ^ U(0xA0761D6478BD642F * (row + 1) % (1 << 64))) >> U(64 - width)).astype(np.int64) + (row << width)
 
 
-def estimated_twice(runs: DataFrame, again: DataFrame, depth: int = DEPTH, bits: int = WIDTH_BITS) -> DataFrame:
-    """The rows of ``again`` whose anchor the sketch of ``runs`` counts twice or more."""
-    cells = runs.select(F.explode(F.array(*[F.struct(F.lit(r).alias("__row"), cell(r, bits).alias("__cell")) for r in range(depth)])).alias("__x"))
-    sketch = cells.groupBy("__x.__row", "__x.__cell").agg(F.count("*").alias("__n")).filter("__n > 1")
-    sketch = cut(sketch.select("__row", "__cell"))
-    for r in range(depth):
-        mine = sketch.filter(F.col("__row") == r).select(F.col("__cell").alias("__found"))
-        again = again.join(mine, cell(r, bits) == F.col("__found"), "left_semi")
-    return again
+def add(sketch: np.ndarray, h: np.ndarray, depth: int, width: int) -> None:
+    """Counts hashes in a sketch of cells that stop at two."""
+    for row in range(depth):
+        at, often = np.unique(cell(h, row, width), return_counts=True)
+        sketch[at] = np.minimum(sketch[at] + np.minimum(often, 2), 2)
 
 
-def window_rows(texts: DataFrame, windows: Windows) -> DataFrame:
-    """__w1, __w2 (hashes), __id, __k, __from of every window in the open runs."""
+def merged_sketch(docs: DataFrame, windows: Windows, depth: int, width: int) -> bytes:
+    """A bit for each cell of the merged sketch: counted twice or more.  ``width`` is 8 at least."""
+    cells = (depth << width) // SLICES
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(depth << width, np.uint8)
+        for h in anchors(batches, windows):
+            add(sketch, h, depth, width)
+        for k in range(SLICES):
+            part = sketch[k * cells : (k + 1) * cells]
+            at = np.flatnonzero(part)
+            if 16 * len(at) < cells:  # few: their places and counts; many: two bits a cell
+                places, counts = at.astype(np.int32).tobytes(), part[at].tobytes()
+            else:
+                places, counts = b"", np.packbits(part > 0).tobytes() + np.packbits(part > 1).tobytes()
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([places]), pa.array([counts])], names=["__slice", "__at", "__n"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("__runs"))
-            for i, raw in enumerate(as_bytes(batch, "__raw")):
-                own = lists.slice(i, 1).flatten()
-                a, n = own.field("__a").to_numpy(zero_copy_only=False), own.field("__n").to_numpy(zero_copy_only=False)
-                one, two, _ = windows.units([raw])
-                start = np.unique(np.repeat(a, n + 1) + np.arange(int((n + 1).sum())) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1))
-                w1, w2 = spans_hash(prefix(one), start, start + windows.size), spans_hash(prefix(two), start, start + windows.size)
-                same = pa.array(np.zeros(len(start), np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mixed(w1 + U(1)).view(np.int64)), pa.array(w2.view(np.int64)), batch.column(0).slice(i, 1).take(same), batch.column(1).slice(i, 1).take(same), pa.array(start)],
-                    names=["__w1", "__w2", "__id", "__k", "__from"],
-                )
+            for k, at, n in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+                own = held.setdefault(k, np.zeros(cells, np.uint8))
+                if at:
+                    own[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.uint8)
+                else:
+                    own += sum(np.unpackbits(x, count=cells) for x in np.frombuffer(n, np.uint8).reshape(2, -1))
+                np.minimum(own, 2, out=own)
+        for k, own in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(own > 1).tobytes()])], names=["__slice", "__bits"])
+
+    out = bytearray((depth << width) // 8)
+    parts = docs.select("__raw").mapInArrow(count, "__slice int, __at binary, __n binary").repartition(SLICES // 4, "__slice")
+    for k, bits in parts.mapInArrow(merge, "__slice int, __bits binary").toLocalIterator():
+        out[k * cells // 8 : (k + 1) * cells // 8] = bits
+    return bytes(out)
+
+
+def estimated_twice(docs: DataFrame, windows: Windows, depth: int = DEPTH, width: int = WIDTH) -> Test:
+    """A test for anchors that the sketch of ``docs`` counts twice or more."""
+    sent = docs.sparkSession.sparkContext.broadcast(merged_sketch(docs, windows, depth, width))
+
+    def test(h: np.ndarray) -> np.ndarray:
+        return np.logical_and.reduce([bit_test(sent.value, cell(h, row, width)) for row in range(depth)])
 
-    kind = dict(texts.dtypes)["__id"]
-    return texts.select("__id", "__k", "__raw", "__runs").mapInArrow(run, f"__w1 long, __w2 long, __id {kind}, __k long, __from long")
+    return test
 
 
 def covered_spans(docs: DataFrame, windows: Windows) -> DataFrame:
-    """__id, __k, __from, __to in words."""
+    """__id, __k, __spans in words, as a table."""
     comparable = docs.filter(F.col("__id").isNotNull())
-    runs = run_table(comparable, windows)
-    runs = estimated_twice(anchor_table(comparable, windows), runs)
-    runs = cut(runs)
-    release(docs.sparkSession)
+    runs = cut(run_table(comparable, windows, estimated_twice(comparable, windows)))
     found = classes(runs, within=False)
     rows = window_rows(open_texts(comparable, found.open), windows)
-    first = rows.groupBy("__w1", "__w2").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).filter("__first < __last").drop("__last")
-    late = rows.join(first, ["__w1", "__w2"]).filter("__id > __first").selectExpr("__id", "__k", "__from", f"__from + {windows.size} AS __to")
+    late = later_windows(rows, within=False).selectExpr("__id", "__k", "__from", f"__from + {windows.size} AS __to")
     whole = found.covered.selectExpr("__id", "__k", "__a AS __from", f"__a + __n + {windows.size} AS __to")
-    return whole.unionByName(late)
+    spans = span_lists(whole.unionByName(late))
+    drop(runs, *found.tables)
+    return spans
 
 
 def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, keep_text: bool = False) -> DataFrame:
@@ -97,9 +122,9 @@ def dedup_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 total, kept = len(words), words
                 if spans[i].is_valid:
                     kept, at = [], 0
-                    for x, y in merged([(s["__from"], s["__to"]) for s in spans[i].as_py()]):
-                        kept += words[at:x]
-                        at = y
+                    for s in spans[i].as_py():
+                        kept += words[at : s["__from"]]
+                        at = s["__to"]
                     kept += words[at:]
                 text = b" ".join(kept)
                 for column, value in zip(out, (total, total - len(kept), hashlib.sha256(text).hexdigest(), text), strict=True):

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, release, renamed
-from .repeats import U, Windows, anchor_table, classes, keyed, merged, open_texts, run_table, with_spans
+from .common import as_bytes, cut, drop, renamed
+from .repeats import U, Windows, among, anchor_table, classes, keyed, later_windows, open_texts, run_table, span_lists, window_rows, with_spans
 
 GRAM, SUFFIXES = 32, 200_000
 
@@ -145,38 +145,55 @@ def repeated_anchors(anchors: DataFrame) -> DataFrame:
     return cut(anchors.groupBy("__h").agg(F.count("*").alias("__n")).filter("__n > 1").select("__h"))
 
 
+def of_runs(texts: DataFrame, hot: bool) -> DataFrame:
+    """``texts`` with those of their runs whose anchors are hot, or aren't."""
+    fit = F.filter("__runs", lambda r: r["__hot"] if hot else ~r["__hot"])
+    return texts.withColumn("__runs", fit).filter(F.size("__runs") > 0)
+
+
 def covered_spans(docs: DataFrame, windows: Windows) -> DataFrame:
-    """__id, __k, __from, __to in bytes."""
+    """__id, __k, __spans in bytes, as a table.
+
+    The suffixes of a hot anchor's runs are dealt by their first ``size`` bytes, and of such a prefix interval the least
+    occurrence is found by an aggregate: no task holds them all.
+    """
     comparable = docs.filter(F.col("__id").isNotNull())
     twice = repeated_anchors(anchor_table(comparable, windows))
-    runs = cut(run_table(comparable, windows, twice).join(twice, "__h", "left_semi"))
-    release(docs.sparkSession)
+    runs = cut(run_table(comparable, windows, among(twice)).join(twice, "__h", "left_semi"))
+    drop(twice)
     found = classes(runs, within=True)
-    repeats = repeat_rows(run_bytes(open_texts(comparable, found.open), windows.size), windows.size)
+    texts = open_texts(comparable, found.open)
+    repeats = repeat_rows(run_bytes(of_runs(texts, False), windows.size), windows.size)
     late = repeats.filter(~F.col("__first")).selectExpr("__id", "__k", "__from", "__from + __length AS __to")
+    frequent = later_windows(window_rows(of_runs(texts, True), windows), within=True).selectExpr("__id", "__k", "__from", f"__from + {windows.size} AS __to")
     whole = found.covered.selectExpr("__id", "__k", "__a AS __from", f"__a + __n + {windows.size} AS __to")
-    return whole.unionByName(late)
+    spans = span_lists(whole.unionByName(late).unionByName(frequent))
+    drop(runs, *found.tables)
+    return spans
+
+
+def apart(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int]:
+    """``raw`` without the spans (disjoint and in order), and their number."""
+    parts, at = [], 0
+    for s in spans or ():
+        parts.append(raw[at : s["__from"]])
+        at = s["__to"]
+    parts.append(raw[at:])
+    return b"".join(parts), len(spans or ())
 
 
 def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100, keep_text: bool = False) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes and removed spans."""
-    windows = Windows(size, min(GRAM, size), False, True)
     every = keyed(docs, id_col, text_col)
-    joined = with_spans(every, covered_spans(every, windows)).select("__id", "__raw", "__spans")
+    joined = with_spans(every, covered_spans(every, Windows(size, min(GRAM, size), False, True))).select("__id", "__raw", "__spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             spans = batch.column(2)
             for i, raw in enumerate(as_bytes(batch, "__raw")):
-                gone = merged([(s["__from"], s["__to"]) for s in spans[i].as_py()]) if spans[i].is_valid else []
-                parts, at = [], 0
-                for x, y in gone:
-                    parts.append(raw[at:x])
-                    at = y
-                parts.append(raw[at:])
-                kept = b"".join(parts)
-                for column, value in zip(out, (len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                kept, gone = apart(raw, spans[i].as_py())
+                for column, value in zip(out, (len(raw), len(raw) - len(kept), gone, hashlib.sha256(kept).hexdigest(), kept), strict=True):
                     column.append(value)
             arrays = [batch.column(0), *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.string())]
             names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -189,44 +206,45 @@ def dedup_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return joined.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else ""))
 
 
+def whole_characters(raw: bytes, spans: list[dict]) -> list[dict]:
+    """Spans shrunk to whole UTF-8 characters."""
+    out = []
+    for s in spans:
+        a, b = s["__from"], s["__to"]
+        while a < b and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append({"__from": a, "__to": b})
+    return out
+
+
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 100, chars_col: str = "n_chars") -> DataFrame:
-    """``docs`` without the repeats in its texts; rows that lose a whole text go.
+    """``docs`` without the repeats in its texts; rows that lose a whole text go, empty and null texts stay.
 
-    Spans shrink to whole characters, so the texts stay valid UTF-8.  ``chars_col``, if there is such a column, is counted anew.
+    Spans shrink to whole characters, so the texts stay valid UTF-8.  ``chars_col``, if there is such a column, is counted
+    anew where a text changes.  The text moves once, with the other columns, to its spans.
     """
     own_names = docs.columns
     docs, at_place = renamed(docs)
     id_col, text_col, chars_col = (at_place.get(c, c) for c in (id_col, text_col, chars_col))
-    every = docs.select("*", *[F.col(c).alias(n) for c, n in ((id_col, "__id"), (text_col, "__raw"))])
-    every = every.withColumn("__raw", F.coalesce(F.col("__raw").cast("binary"), F.lit(b"")))
-    every = every.withColumn("__k", F.xxhash64("__raw").bitwiseAND(0xFFFFFF))
-    joined = with_spans(every, covered_spans(every.select("__id", "__k", "__raw"), Windows(size, min(GRAM, size), False, True)))
-    names = docs.columns
-    spoiled = joined.filter(F.col("__spans").isNotNull())
-
-    def whole(raw: bytes, a: int, b: int) -> tuple[int, int]:
-        while a < b and raw[a] & 0xC0 == 0x80:
-            a += 1
-        while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
-            b -= 1
-        return a, b
+    spans = covered_spans(keyed(docs, id_col, text_col), Windows(size, min(GRAM, size), False, True))
+    raw = F.col(text_col).cast("binary")
+    every = docs.withColumns({"__id": F.col(id_col), "__k": F.xxhash64(F.coalesce(raw, F.lit(b""))).bitwiseAND(0xFFFFFF)})
+    joined = with_spans(every, spans).drop("__id", "__k").withColumn(text_col, raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            spans = batch.column(batch.schema.get_field_index("__spans")).to_pylist()
-            for raw, own in zip(as_bytes(batch, "__raw"), spans, strict=True):
-                parts, at = [], 0
-                for x, y in merged([(s["__from"], s["__to"]) for s in own]):
-                    x, y = whole(raw, x, y)
-                    parts.append(raw[at:x])
-                    at = y
-                parts.append(raw[at:])
-                texts.append(b"".join(parts).decode("utf-8", "replace"))
-            column = {f.name: batch.column(i) for i, f in enumerate(batch.schema)} | {text_col: pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays([column[c] for c in names], names=names)
-
-    cleaned = spoiled.select(*docs.columns, "__raw", "__spans").mapInArrow(run, docs.schema).filter(F.col(text_col) != "")
+            column = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
+            spans = column.pop("__spans")
+            texts, changed = as_bytes(batch, text_col), spans.is_valid()
+            for i in np.flatnonzero(changed.to_numpy(zero_copy_only=False)).tolist():
+                texts[i], _ = apart(texts[i], whole_characters(texts[i], spans[i].as_py()))
+            column |= {text_col: pa.array(texts, pa.binary()), "__cut": changed}
+            yield pa.RecordBatch.from_arrays(list(column.values()), names=list(column))
+
+    made = joined.drop("__spans").withColumn("__cut", F.lit(True)).schema
+    cleaned = joined.mapInArrow(run, made).filter(~F.col("__cut") | (F.octet_length(text_col) > 0)).withColumn(text_col, F.col(text_col).cast(docs.schema[text_col].dataType))
     if chars_col in docs.columns:
-        cleaned = cleaned.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType))
-    return joined.filter(F.col("__spans").isNull()).select(*docs.columns).unionByName(cleaned).toDF(*own_names)
+        cleaned = cleaned.withColumn(chars_col, F.when(F.col("__cut"), F.char_length(text_col).cast(docs.schema[chars_col].dataType)).otherwise(F.col(chars_col)))
+    return cleaned.select(*docs.columns).toDF(*own_names)
