@@ -6,8 +6,11 @@ with checksums, silent, the payload in their main data area; the bit rate of
 the last is the least that holds the rest.  ``parse`` reads any MPEG-1, 2 or
 2.5 stream of layers I to III: it skips and reads ID3v2 and ID3v1 tags, finds
 frame headers again after damage (two headers in a row must fit), reads Xing,
-Info and VBRI tables, checks the checksums and notes samples, exact duration
-and the offset of every ``stride``-th frame.
+Info and VBRI tables and holds their number of frames against those found,
+checks the checksums of layer III and notes samples, exact duration and the
+offset of every ``stride``-th frame.  An ID3v1 tag is one only where a frame or
+damage ends at it, so a payload may hold its mark.  Checksums of layers I and II
+are read over, not checked; headers of free format are taken for damage.
 
 Null payloads are null media, and null media have null results.  Streams
 without a frame give zero frames and a duration of 0.
@@ -147,6 +150,7 @@ class Stream:
     checked: int = 0
     broken: int = 0
     skipped: int = 0
+    whole: bool = True  # as many frames as the table says, or no table
     kind: tuple = ()
     seek: list[int] = field(default_factory=list)
     payload: bytes = b""
@@ -180,11 +184,13 @@ def read_tag(data: bytes, at: int, tags: dict[str, str]) -> int:
 
 def parse(data: bytes, stride: int = 64) -> Stream:
     out, at, end = Stream(), 0, len(data)
-    if end >= 128 and data[-128:-125] == b"TAG":
-        end -= 128
-        out.tags["id3v1"] = data[end + 3 : end + 33].rstrip(b"\0 ").decode("latin-1")
+    trailer = end - 128 if data[-128:-125] == b"TAG" and end >= 128 else -1
     parts: list[bytes] = []
     while at + 4 <= end:
+        if at == trailer:
+            out.tags["id3v1"] = data[at + 3 : at + 33].rstrip(b"\0 ").decode("latin-1")
+            at = end
+            break
         if data[at : at + 3] == b"ID3" and at + 10 <= end:
             at = read_tag(data, at, out.tags)
             continue
@@ -199,6 +205,7 @@ def parse(data: bytes, stride: int = 64) -> Stream:
             step = (nearest if nearest > 0 else end) - at
             tag = data.find(b"ID3", at + 1, at + step)
             step = tag - at if tag > 0 else step
+            step = trailer - at if at < trailer < at + step else step
             out.skipped += step
             at += step
             continue
@@ -230,6 +237,7 @@ def parse(data: bytes, stride: int = 64) -> Stream:
             parts.append(data[body + h.side : after])
         at = after
     out.skipped += max(0, end - at)
+    out.whole = out.table_frames in (-1, out.frames)
     if out.kind:
         out.duration = Fraction(out.samples, out.kind[2])
     payload = b"".join(parts)
@@ -243,7 +251,7 @@ def feature(s: Stream) -> str:
     return (
         f"mpeg{version}-layer{layer};hz={hertz};frames={s.frames};samples={s.samples};seconds={s.duration.numerator}/{s.duration.denominator};"
         f"kbits={min(s.rates, default=0)}-{max(s.rates, default=0)};table={s.table}:{s.table_frames}:{s.table_bytes};id3={s.tags.get('id3', '-')};"
-        f"crc={s.checked - s.broken}/{s.checked};skipped={s.skipped};seek={','.join(map(str, s.seek[:4]))}({len(s.seek)})"
+        f"crc={s.checked - s.broken}/{s.checked};skipped={s.skipped};whole={s.whole};seek={','.join(map(str, s.seek[:4]))}({len(s.seek)})"
     )
 
 
