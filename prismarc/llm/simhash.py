@@ -6,9 +6,10 @@ the first j segments are at most floor(4 j / 9) for every j (0, 0, 1, 1, 2, 2,
 3, 3, 4: the cycle lemma behind the pigeonring principle).  So the first two
 segments of the chain agree; of the next two at least one agrees; of the next
 four at least two agree.  Each start of a chain has five ways to do so: 45 keys
-of 28 bits or more, by which fingerprints are grouped; whatever has no such
-chain is pruned without a comparison.  Groups are then compared in full, and
-each emits a spanning forest of its links only, never all pairs.  Groups of
+of 28 bits or more, by which fingerprints are grouped.  The pairs of a group
+must keep the budgets of the chain that their key starts, for one number of
+segments after another; only those that do come to the full Hamming check.  A
+group emits a spanning forest of its links only, never all pairs.  Groups of
 more than ``GROUP`` fingerprints are dealt out as pairs of blocks.
 
 Equal fingerprints are one node, so copies cost nothing.  Components are found
@@ -32,6 +33,9 @@ from .common import as_bytes, cut, drop, slices
 MOST, SEGMENTS, GROUP = 4, 9, 20_000
 WIDTHS = (8, 7, 7, 7, 7, 7, 7, 7, 7)
 SHIFTS = tuple(sum(WIDTHS[:i]) for i in range(SEGMENTS))
+#: Bits that may differ in the first j segments of a chain, and their masks by start once a fingerprint is turned to it.
+BUDGETS = tuple(MOST * j // SEGMENTS for j in range(1, SEGMENTS + 1))
+MASKS = np.array([[(1 << sum(WIDTHS[(s + i) % SEGMENTS] for i in range(j))) - 1 for j in range(1, SEGMENTS + 1)] for s in range(SEGMENTS)], np.uint64)
 #: Places of the two further equal segments in a chain (0 and 1 are equal).
 CHAINS = ((2, 3), (2, 4), (2, 5), (3, 4), (3, 5))
 _UPPER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -85,9 +89,25 @@ def ring_keys(fps: np.ndarray) -> np.ndarray:
     return out
 
 
-def forest(left: np.ndarray, right: np.ndarray | None = None, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
+def turned(fps: np.ndarray, start: np.ndarray | int) -> np.ndarray:
+    """Fingerprints on the ring with the segment ``start`` in front."""
+    by = np.array(SHIFTS, np.uint64)[start]
+    return np.where(by == 0, fps, (fps >> by) | (fps << ((np.uint64(64) - by) & np.uint64(63))))
+
+
+def chained(differ: np.ndarray, start: np.ndarray | int) -> np.ndarray:
+    """Places of those differences (of turned fingerprints) whose every chain prefix keeps its budget."""
+    at = np.arange(len(differ))
+    for j, most in list(enumerate(BUDGETS))[2:-1]:
+        mask = MASKS[start, j] if np.isscalar(start) else MASKS[start[at], j]
+        at = at[np.bitwise_count(differ[at] & mask) <= most]
+    return at
+
+
+def forest(left: np.ndarray, right: np.ndarray | None = None, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links within ``left``, or between it and ``right``: at most a link a node."""
     nodes = left if right is None else np.concatenate([left, right])
+    ring = turned(nodes, start)
     label = np.arange(len(nodes))
     tile, border = 1024, len(left)
     a: list[int] = []
@@ -96,7 +116,11 @@ def forest(left: np.ndarray, right: np.ndarray | None = None, most: int = MOST)
         x = slice(r, min(r + tile, border))
         for c in range(r if right is None else border, len(nodes), tile):
             y = slice(c, c + tile)
-            near = np.bitwise_count(nodes[x, None] ^ nodes[None, y]) <= most
+            differ = (ring[x, None] ^ ring[None, y]).ravel()
+            at = chained(differ, start)
+            near = np.zeros(len(differ), bool)
+            near[at[np.bitwise_count(differ[at]) <= MOST]] = True
+            near = near.reshape(x.stop - x.start, -1)
             while True:
                 fresh = near & (label[x, None] != label[None, y])
                 rows = np.flatnonzero(fresh.any(axis=1))
@@ -110,13 +134,13 @@ def forest(left: np.ndarray, right: np.ndarray | None = None, most: int = MOST)
     return nodes[a] if a else nodes[:0], nodes[b] if b else nodes[:0]
 
 
-def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(cells, sides, fingerprints) in which no cell is cut; the input is sorted by cell."""
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(cells, sides, starts of chains, fingerprints) in which no cell is cut; the input is sorted by cell."""
     held: list[tuple[np.ndarray, ...]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        now = tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         last = len(now[0]) - int((now[0] == now[0][-1])[::-1].argmin() or len(now[0])) if now[0][0] != now[0][-1] else 0
         if last:
             parts = [*held, tuple(x[:last] for x in now)]
@@ -132,7 +156,7 @@ def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for cells, sides, raw in runs_of(batches):
+    for cells, sides, chains, raw in runs_of(batches):
         fps = raw.view(np.uint64)
         starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]])
         sizes = np.diff(np.r_[starts, len(cells)])
@@ -140,12 +164,16 @@ def group_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b: list[np.ndarray] = []
         pair = starts[sizes == 2]
         if len(pair):
-            near = (np.bitwise_count(fps[pair] ^ fps[pair + 1]) <= MOST) & ((sides[pair] == 0) | (sides[pair] != sides[pair + 1]))
-            a.append(fps[pair[near]])
-            b.append(fps[pair[near] + 1])
+            pair = pair[(sides[pair] == 0) | (sides[pair] != sides[pair + 1])]
+            differ = turned(fps[pair] ^ fps[pair + 1], chains[pair])
+            at = chained(differ, chains[pair])
+            near = pair[at[np.bitwise_count(differ[at]) <= MOST]]
+            a.append(fps[near])
+            b.append(fps[near + 1])
         for s, n in zip(starts[sizes > 2], sizes[sizes > 2], strict=True):
             own, side = fps[s : s + n], sides[s : s + n]
-            x, y = forest(own) if side[0] == 0 else forest(own[side == 1], own[side == 2])
+            start = int(chains[s])
+            x, y = forest(own, None, start) if side[0] == 0 else forest(own[side == 1], own[side == 2], start)
             a.append(x)
             b.append(y)
         if a:
@@ -165,8 +193,9 @@ def links(nodes: DataFrame) -> DataFrame:
 
     keys = nodes.mapInArrow(keyed, "__key long, __fp long")
     hot = cut(keys.groupBy("__key").count().filter(F.col("count") > GROUP).withColumn("__blocks", F.ceil(F.col("count") / GROUP).cast("int")).drop("count"))
+    start = F.floor(F.shiftright("__key", 40) / len(CHAINS)).cast("int").alias("__start")
     if hot.isEmpty():
-        dealt = keys.select(F.col("__key").alias("__cell"), F.lit(0).alias("__side"), "__fp")
+        dealt = keys.select(F.col("__key").alias("__cell"), F.lit(0).alias("__side"), start, "__fp")
     else:
         # a group of many blocks: each block by itself (side 0) and against each other (sides 1 and 2)
         block = F.pmod(F.xxhash64("__fp"), F.col("__blocks")).cast("int")
@@ -175,7 +204,7 @@ def links(nodes: DataFrame) -> DataFrame:
         met = met.select("*", other.alias("__other"))
         side = F.when(F.col("__own").isNull() | (F.col("__own") == F.col("__other")), 0).when(F.col("__own") < F.col("__other"), 1).otherwise(2)
         cell = F.when(F.col("__own").isNull(), F.col("__key")).otherwise(F.xxhash64("__key", F.least("__own", "__other"), F.greatest("__own", "__other")))
-        dealt = met.select(cell.alias("__cell"), side.alias("__side"), "__fp")
+        dealt = met.select(cell.alias("__cell"), side.alias("__side"), start, "__fp")
     return dealt.repartition("__cell").sortWithinPartitions("__cell").mapInArrow(group_links, "__a long, __b long").distinct()
 
 
