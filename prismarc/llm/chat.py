@@ -20,7 +20,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 OPEN, PART, CLOSE = "<turn:", "<part>", "</turn>"
 
@@ -37,44 +36,62 @@ def plain(c: Column) -> Column:
     return c
 
 
+#: Running sums are taken in stretches of so many turns: appending to an array copies it.
+STRETCH = 256
+
+
+def sums(values: Column) -> Column:
+    """The sums up to and including each value."""
+    grown = F.aggregate(values, F.array(F.lit(0).cast("long")), lambda held, x: F.concat(held, F.array(F.element_at(held, -1) + x)))
+    return F.slice(grown, 2, F.size(values))
+
+
+def with_ends(df: DataFrame, lengths: str, ends: str) -> DataFrame:
+    """Adds the running sums of the array column ``lengths``."""
+    stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / STRETCH).cast("int")), lambda k: sums(F.slice(lengths, k * STRETCH + 1, F.lit(STRETCH))))
+    df = df.withColumn("__stretches", stretches)
+    df = df.withColumn("__totals", sums(F.transform("__stretches", lambda s: F.element_at(s, -1))))
+    moved = F.transform("__stretches", lambda s, k: F.transform(s, lambda x: x + F.coalesce(F.get("__totals", k - 1), F.lit(0))))
+    return df.withColumn(ends, F.flatten(moved)).drop("__stretches", "__totals")
+
+
 def format_chats(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", learn: str = "assistant") -> DataFrame:
-    """Per conversation: its id, ``formatted`` and ``loss_spans`` (start, chars, byte_start, bytes), zero-based."""
-    turns = rows.select(
-        F.col(conv_col).alias("__conv"),
-        F.col(turn_col).alias("__turn"),
-        F.coalesce(F.col(role_col), F.lit("")).alias("__role"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("__text"),
-    )
-    w = Window.partitionBy("__conv").orderBy("__turn", "__role", "__text")
-    before = F.lag("__role").over(w)
-    body = escaped(F.col("__text"))
-    lead = (
-        F.when(F.col("__before").isNull(), F.concat(F.lit(OPEN), escaped(F.col("__role")), F.lit(">")))
-        .when(F.col("__before") != F.col("__role"), F.concat(F.lit(CLOSE + OPEN), escaped(F.col("__role")), F.lit(">")))
-        .otherwise(F.lit(PART))
-    )
-    pieces = (
-        turns.select("*", F.row_number().over(w).alias("__n"), before.alias("__before"))
-        .select("__conv", "__n", "__role", lead.alias("__lead"), body.alias("__body"))
-        .select("*", *[f(F.concat("__lead", "__body")).cast("long").alias(n) for f, n in ((F.char_length, "__chars"), (F.octet_length, "__bytes"))])
-    )
-    upto = Window.partitionBy("__conv").orderBy("__n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = pieces.select("__conv", "__n", "__role", "__lead", "__body", F.sum("__chars").over(upto).alias("__c"), F.sum("__bytes").over(upto).alias("__b"))
-    n_chars, n_bytes = F.char_length("__body").cast("long"), F.octet_length("__body").cast("long")
-    span = F.struct(F.col("__n"), (F.col("__c") - n_chars).alias("start"), n_chars.alias("chars"), (F.col("__b") - n_bytes).alias("byte_start"), n_bytes.alias("bytes"))
-    sorted_list = lambda c: F.array_sort(F.collect_list(c))
-    return (
-        placed.groupBy("__conv")
-        .agg(
-            sorted_list(F.struct("__n", F.concat("__lead", "__body").alias("piece"))).alias("__pieces"),
-            sorted_list(F.when(F.col("__role") == learn, span)).alias("__spans"),
-        )
-        .select(
-            F.col("__conv").alias(conv_col),
-            F.concat(F.array_join(F.transform("__pieces", lambda p: p.piece), ""), F.lit(CLOSE)).alias("formatted"),
-            F.transform("__spans", lambda s: F.struct(s.start.alias("start"), s.chars.alias("chars"), s.byte_start.alias("byte_start"), s.bytes.alias("bytes"))).alias("loss_spans"),
-        )
+    """Per conversation: its id, ``formatted`` and ``loss_spans`` (start, chars, byte_start, bytes), zero-based.
+
+    The turns are collected as structs and sorted; a block is the slice of the array from one change of role to the next.
+    """
+    turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    chats = rows.select(F.col(conv_col).alias("__conv"), turn.alias("__turn")).groupBy("__conv").agg(F.sort_array(F.collect_list("__turn")).alias("__turns"))
+    said = F.transform("__turns", lambda t: F.struct(t.role.alias("role"), escaped(t.role).alias("name"), escaped(t.text).alias("body")))
+    chats = chats.select("__conv", said.alias("__said"))
+    role = lambda i: F.get("__said", i)["role"]
+    opens = lambda i: (i == 0) | (role(i - 1) != role(i))
+    chats = chats.withColumn("__starts", F.filter(F.sequence(F.lit(0), F.size("__said") - 1), opens))
+
+    def block(start: Column, k: Column) -> Column:
+        own = F.slice("__said", start + 1, F.coalesce(F.get("__starts", k + 1), F.size("__said")) - start)
+        return F.concat(F.lit(OPEN), F.get("__said", start)["name"], F.lit(">"), F.array_join(F.transform(own, lambda t: t["body"]), PART))
+
+    def length(of) -> Column:
+        lead = lambda t, i: F.when(opens(i), F.when(i == 0, len(OPEN) + 1).otherwise(len(CLOSE + OPEN) + 1) + of(t["name"])).otherwise(len(PART))
+        return F.transform("__said", lambda t, i: (lead(t, i) + of(t["body"])).cast("long"))
+
+    chats = chats.select(
+        "__conv",
+        "__said",
+        F.concat(F.array_join(F.transform("__starts", block), CLOSE), F.lit(CLOSE)).alias("formatted"),
+        length(F.char_length).alias("__chars"),
+        length(F.octet_length).alias("__bytes"),
     )
+    chats = with_ends(with_ends(chats, "__chars", "__c"), "__bytes", "__b")
+
+    def span(t: Column, i: Column) -> Column:
+        chars, octets = F.char_length(t["body"]).cast("long"), F.octet_length(t["body"]).cast("long")
+        own = F.struct((F.get("__c", i) - chars).alias("start"), chars.alias("chars"), (F.get("__b", i) - octets).alias("byte_start"), octets.alias("bytes"))
+        return F.when(t["role"] == learn, own)
+
+    spans = F.filter(F.transform("__said", span), lambda s: s.isNotNull())
+    return chats.select(F.col("__conv").alias(conv_col), "formatted", spans.alias("loss_spans"))
 
 
 def read_chats(formatted: DataFrame) -> DataFrame:
