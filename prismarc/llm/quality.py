@@ -220,23 +220,28 @@ def kth_largest(values: DataFrame, k: int, bins: int = 4096) -> float:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, orders: tuple[int, ...] = ORDERS, bits: int = BITS, least: int = DOCS, times: float = TIMES, temperature: float = TEMPERATURE, seed: int = SEED, k: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay, with __weight (log importance) and __key."""
-    spark = docs.sparkSession
+def drawn(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE, orders: tuple[int, ...] = ORDERS, bits: int = BITS, least: int = DOCS, times: float = TIMES, temperature: float = TEMPERATURE, seed: int = SEED, k: int | None = None) -> DataFrame:
+    """The rows of ``docs`` (columns by place) that stay, with __weight and __key.  Every text is scored once: the scored rows are written out."""
     model = log_ratios(docs, labels, id_col, text_col, sample, orders, bits, least, times)
-    noise = gumbel(F.col(id_col), seed)
-    weighed = docs.withColumn("__weight", scored(F.col(text_col), model, spark, orders, bits)).withColumn("__key", F.col("__weight") / temperature + noise)
-    keys = cut(weighed.select(F.col(id_col).alias("__id"), "__weight", "__key"))
+    weighed = docs.withColumn("__weight", scored(F.col(text_col), model, docs.sparkSession, orders, bits))
+    weighed = cut(weighed.withColumn("__key", F.col("__weight") / temperature + gumbel(F.col(id_col), seed)))
     if k is None:
-        k = keys.filter(F.col("__weight") >= best_threshold(keys, labels, id_col, sample)).count()
-    return weighed.filter(F.col("__key") >= kth_largest(keys, k))
+        k = weighed.filter(F.col("__weight") >= best_threshold(weighed.select(F.col(id_col).alias("__id"), "__weight"), labels, id_col, sample)).count()
+    return weighed.filter(F.col("__key") >= kth_largest(weighed.select("__key"), k))
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay, with __weight (log importance) and __key; the options are those of ``drawn``.  Columns of any name pass through."""
+    plain, at = renamed(docs)
+    graded = labels.select(F.col(id_col).alias(at[id_col]), "quality", "toxic")
+    return drawn(plain, graded, at[id_col], at[text_col], **options).toDF(*docs.columns, "__weight", "__key")
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that ``resample`` keeps, with no further columns; columns of any name pass through."""
+    """The rows of ``docs`` that ``resample`` keeps, with no further columns."""
     plain, at = renamed(docs)
     graded = labels.select(F.col(id_col).alias(at[id_col]), "quality", "toxic")
-    return resample(plain, graded, at[id_col], at[text_col], **options).select(*plain.columns).toDF(*docs.columns)
+    return drawn(plain, graded, at[id_col], at[text_col], **options).select(*plain.columns).toDF(*docs.columns)
 
 
 def best_threshold(keys: DataFrame, labels: DataFrame, id_col: str, sample: int) -> float:
