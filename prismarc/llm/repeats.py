@@ -352,15 +352,16 @@ def classes(runs: DataFrame, within: bool) -> Classes:
 
     No class and no frequent anchor ever meets in a task: the first run of a class is an aggregate, and its other runs are
     those that aren't the first, by a join on the whole row; the anchors with many kinds of run are sent to all tasks.
+    Here and below joins merge, whatever the sizes, so that small inputs run as large ones do.
     """
     least = F.struct("__id", "__p") if within else F.struct("__id")
     firsts = cut(runs.groupBy("__h", "__c").agg(F.min(least).alias("__first")).select("__h", "__c", "__first.*"))
     kinds = cut(firsts.groupBy("__h").agg(F.count("*").alias("__kinds")).filter("__kinds > 1"))
     hot = F.broadcast(kinds.filter(F.col("__kinds") > HOT).orderBy(F.desc("__kinds"), "__h").limit(HOTTEST).select("__h"))
-    row = list(firsts.columns)
-    covered = runs.join(firsts, row, "left_anti").selectExpr("__id", KEY, START, COUNT)
-    rest = firsts if within else runs.join(firsts, row, "left_semi")
-    cold = rest.join(hot, "__h", "left_anti").join(kinds.select("__h"), "__h", "left_semi").withColumn("__hot", F.lit(False))
+    row, told = list(firsts.columns), firsts.hint("merge")
+    covered = runs.join(told, row, "left_anti").selectExpr("__id", KEY, START, COUNT)
+    rest = firsts if within else runs.join(told, row, "left_semi")
+    cold = rest.join(hot, "__h", "left_anti").join(kinds.select("__h").hint("merge"), "__h", "left_semi").withColumn("__hot", F.lit(False))
     every = cold.unionByName(rest.join(hot, "__h", "left_semi").withColumn("__hot", F.lit(True)))
     return Classes(covered, every.selectExpr("__h", "__id", KEY, START, COUNT, "__hot"), (firsts, kinds))
 
@@ -402,7 +403,7 @@ def later_windows(rows: DataFrame, within: bool) -> DataFrame:
     """The ``rows`` of window_rows with an earlier equal one; of equal windows none meet in a task."""
     least = F.struct("__id", "__k", "__from") if within else F.struct("__id")
     first = rows.groupBy("__w1", "__w2").agg(F.min(least).alias("__first")).select("__w1", "__w2", "__first.*")
-    return rows.join(first, first.columns, "left_anti")
+    return rows.join(first.hint("merge"), first.columns, "left_anti")
 
 
 def span_lists(spans: DataFrame) -> DataFrame:
@@ -428,7 +429,7 @@ def span_lists(spans: DataFrame) -> DataFrame:
 
 def with_spans(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """docs (__id, __k, ...) with __spans, null where nothing is covered.  Rows without an id stay away from the join."""
-    told = docs.filter(F.col("__id").isNotNull()).join(lists, ["__id", "__k"], "left")
+    told = docs.filter(F.col("__id").isNotNull()).join(lists.hint("merge"), ["__id", "__k"], "left")
     rest = docs.filter(F.col("__id").isNull()).withColumn("__spans", F.lit(None).cast(lists.schema["__spans"].dataType))
     return told.select(*docs.columns, "__spans").unionByName(rest)
 
@@ -436,4 +437,4 @@ def with_spans(docs: DataFrame, lists: DataFrame) -> DataFrame:
 def open_texts(docs: DataFrame, rest: DataFrame) -> DataFrame:
     """docs (__id, __k, __raw) that have open runs, with their list __runs (__h, __a, __n, __hot)."""
     lists = rest.groupBy("__id", "__k").agg(F.collect_list(F.struct("__h", "__a", "__n", "__hot")).alias("__runs"))
-    return docs.join(lists, ["__id", "__k"])
+    return docs.join(lists.hint("merge"), ["__id", "__k"])
