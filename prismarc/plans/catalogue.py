@@ -9,10 +9,10 @@ from pyspark.sql.window import Window as W
 from ..functions import text as X
 from ..operators import graph, ranking, vectors
 from ..streaming import windows
-from . import fields, links, states
+from . import fields, links, projections, states, texts
 from .register import n, oracle_sql, queries, query, t
 
-__all__ = ["fields", "flagship", "links", "oracle_sql", "queries", "states"]
+__all__ = ["fields", "flagship", "links", "oracle_sql", "projections", "queries", "states", "texts"]
 
 # groups of equal rows
 
