@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` in the session's checkpoint folder; one is set only where none is."""
+    """``df`` in the session's checkpoint folder; one is set only where none is and the session is a local one."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="prismarc-"))
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster it has to be a folder that all machines share")
+        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="prismarc-"))
     return df.checkpoint()
 
 
@@ -40,8 +45,56 @@ def representatives(rows: DataFrame, key: str, id_col: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("members"), F.min(id_col).alias("representative")).filter("members > 1")
 
 
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
+def _cliques_over(vertex: object, above: dict, below: dict) -> Iterator[list]:
+    """Maximal cliques whose least member is ``vertex``: above has its greater neighbours with theirs among them, below its lesser ones likewise."""
+    near = {v: set(ns) for v, ns in above.items()}
+    for v, ns in below.items():
+        for u in ns & set(above):
+            near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).update(ns)
+    stack = [([vertex], set(above), set(below))]
+    while stack:
+        held, free, spent = stack.pop()
+        if not free and not spent:
+            yield held
+            continue
+        pivot = max(free | spent, key=lambda v: len(free & near.get(v, set())))
+        for v in sorted(free - near.get(pivot, set())):
+            own = near.get(v, set())
+            stack.append((held + [v], free & own, spent & own))
+            free = free - {v}
+            spent = spent | {v}
+
+
+def cliques(links: DataFrame, a: str, b: str) -> DataFrame:
+    """members (sorted): every maximal clique of two nodes or more, once.
+
+    A clique is found at its least node, from the links among that node's neighbours (its triangles), so no component has to
+    fit one task.  Copies should be one node: a node with many neighbours is a task as large as the links among these.
+    """
+    e = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
+    e = written(e)
+    kind = dict(e.dtypes)["u"]
+    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    # of node x: links between two of its neighbours; neighbours without such links stand alone
+    wedges = both.select(F.col("u").alias("x"), F.col("v").alias("p")).join(e.select(F.col("u").alias("p"), F.col("v").alias("q")), "p")
+    inner = wedges.join(both.select(F.col("u").alias("x"), F.col("v").alias("q")), ["x", "q"]).select("x", "p", "q")
+    rows = inner.unionByName(both.select(F.col("u").alias("x"), F.col("v").alias("p"), F.lit(None).cast(kind).alias("q")))
+
+    def local(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x = key[0]
+        near: dict = {}
+        for p, q in zip(part["p"].tolist(), part["q"].tolist(), strict=True):
+            near.setdefault(p, set())
+            if q is not None and q == q:
+                near[p].add(type(p)(q))
+                near.setdefault(type(p)(q), set()).add(p)
+        above = {v: {n for n in ns if n > x} for v, ns in near.items() if v > x}
+        below = {v: ns for v, ns in near.items() if v < x}
+        found = [sorted(c) for c in _cliques_over(x, above, below) if len(c) > 1] if above else []
+        return pd.DataFrame({"members": pd.Series(found, dtype=object)})
+
+    return rows.groupBy("x").applyInPandas(local, f"members array<{kind}>")
 
 
 def resolve_aliases(links: DataFrame, child: str, parent: str) -> DataFrame:

@@ -473,7 +473,9 @@ def prefix_renormalise(spark, d):
 
 
 @query("""WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS s FROM embeddings),
-p AS (SELECT a.vec_id AS left_id, c.vec_id AS right_id, CAST(list_sum(list_transform(range(1, 65), lambda i: abs(a.s[i] - c.s[i]))) AS BIGINT) AS hamming FROM b a JOIN b c ON a.vec_id < c.vec_id)
+r AS (SELECT s, min(vec_id) AS vec_id FROM b GROUP BY s),
+p AS (SELECT a.vec_id AS left_id, c.vec_id AS right_id, CAST(list_sum(list_transform(range(1, 65), lambda i: abs(a.s[i] - c.s[i]))) AS BIGINT) AS hamming FROM r a JOIN r c ON a.vec_id < c.vec_id
+UNION ALL SELECT r.vec_id, b.vec_id, 0 FROM r JOIN b ON r.s = b.s AND b.vec_id > r.vec_id)
 SELECT left_id, right_id, hamming, CASE WHEN hamming = 0 THEN 'exact' WHEN hamming <= 4 THEN 'near' ELSE 'manual' END AS relation FROM p WHERE hamming <= 8""")
 def hamming_banded_pairs(spark, d):
     bits = t(spark, d, "embeddings").select("vec_id", vectors.sign_bits(F.col("embedding")).alias("bits"))
