@@ -6,18 +6,26 @@ import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` in the session's checkpoint folder; one is set only where none is and the session is a local one."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not sc.master.startswith("local"):
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder; one is set only where none is and the session is a local one."""
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir isn't set: on a cluster it has to be a folder that all machines share")
-        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="prismarc-"))
+        found = "file://" + tempfile.mkdtemp(prefix="prismarc-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
+    return found
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` in the session's checkpoint folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -24,3 +24,16 @@ def ranks(rows: DataFrame, groups: list[str], order: list[str], name: str) -> Da
     for g in groups:
         same &= F.col(g).eqNullSafe(F.col(f"_{g}"))
     return ranged.withColumn("_own", own).join(offsets, same).withColumn(name, (F.col("_own") + F.col("_before")).cast("long")).select(*rows.columns, name)
+
+
+def running_sums(rows: DataFrame, groups: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` over its group up to and including each row, by ``order`` (unique within a group); no group has to fit one task."""
+    ranged = written(rows.repartitionByRange(*groups, *order).withColumn("_part", F.spark_partition_id()))
+    totals = ranged.groupBy(*groups, "_part").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("_part").alias("_p"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    own = F.sum(value).over(Window.partitionBy(*groups, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    same = F.col("_part") == F.col("_p")
+    for g in groups:
+        same &= F.col(g).eqNullSafe(F.col(f"_{g}"))
+    return ranged.withColumn("_own", own).join(offsets, same).withColumn(name, F.coalesce("_own", F.lit(0)) + F.col("_before")).select(*rows.columns, name)

@@ -342,7 +342,7 @@ def keyset_page(spark, d):
 @query("""SELECT doc_id, source, r FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('7:' || doc_id)) AS r FROM documents) ORDER BY r, source LIMIT 50""")
 def round_robin_selection(spark, d):
     r = F.row_number().over(W.partitionBy("source").orderBy(F.sha2(F.concat(F.lit("7:"), F.col("doc_id").cast("string")), 256)))
-    return t(spark, d, "documents").select("doc_id", "source", r.cast("long").alias("r")).orderBy("r", "source").limit(50)
+    return t(spark, d, "documents").select("doc_id", "source", r.cast("long").alias("r")).filter("r <= 50").orderBy("r", "source").limit(50)  # no source gives more than the limit
 
 
 @query("""SELECT doc_id, source, lang FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY sha256('11:' || doc_id)) AS r FROM documents) WHERE r <= 3""")
@@ -384,9 +384,10 @@ def version_watermark(spark, d):
 
 @query("""SELECT event_id, day, spent, spent <= 3000 AS allowed FROM (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY CAST(ts AS DATE), event_type ORDER BY ts, event_id) AS BIGINT) AS spent FROM events)""")
 def budget_running_cap(spark, d):
-    day = F.to_date("ts")
-    spent = F.sum(F.round(F.col("value") * 100).cast("long")).over(W.partitionBy(day, "event_type").orderBy("ts", "event_id"))
-    return t(spark, d, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), spent.alias("spent")).withColumn("allowed", F.col("spent") <= 3000)
+    """Spent of a day's budget so far, and whether it holds; a day's events of a type may be any number."""
+    cents = F.round(F.col("value") * 100).cast("long")
+    rows = t(spark, d, "events").select("event_id", "ts", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), cents.alias("cents"))
+    return ranking.running_sums(rows, ["day", "event_type"], ["ts", "event_id"], "cents", "spent").select("event_id", "day", "spent", (F.col("spent") <= 3000).alias("allowed"))
 
 
 @query("""SELECT user_id, coalesce(max(CASE WHEN event_type = 'click' THEN c END), 0) AS reserved, coalesce(max(CASE WHEN event_type = 'purchase' THEN c END), 0) AS actual,
@@ -419,14 +420,13 @@ def fk_and_unique_audit(spark, d):
     return rule(dangling, "dangling").unionByName(rule(repeated, "repeated_key")).unionByName(rule(o.filter("o_orderstatus NOT IN ('F', 'O', 'P')"), "bad_status"))
 
 
-@query()
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def watermark_windows(spark, d):
     """Hourly counts of the events as a stream with a watermark, run to the end of the input."""
-    schema = t(spark, d, "events").schema
-    name = "prismarc_windows"
+    stream = windows.event_stream(spark, f"{d}/events.parquet*", t(spark, d, "events").schema)
     # append would hold back the windows that the watermark has not passed when the input ends
-    out = windows.run_to_memory(windows.windowed_counts(windows.event_stream(spark, f"{d}/events.parquet*", schema)), name, "complete")
-    return out.select("window.start", "event_type", "n", "total")
+    out = windows.run_to_files(windows.windowed_counts(stream), "complete")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 # vectors and retrieval

@@ -66,9 +66,12 @@ def group_row_rollup(spark, d):
 s AS (SELECT block // 500 AS super, sha256(string_agg(block || ':' || h, ',' ORDER BY block)) AS h, sum(rows) AS rows FROM b GROUP BY 1)
 SELECT sha256(string_agg(super || ':' || h, ',' ORDER BY super)) AS fingerprint, CAST(sum(rows) AS BIGINT) AS rows FROM s""")
 def table_fingerprint(spark, d):
-    """A digest of the rows in order by way of blocks, so that no list grows with the table but the last one (a row in 250,000)."""
+    """A digest of the rows in order by way of blocks, of 500 in levels until one is left, so that no list grows with the table."""
     level = t(spark, d, "documents").select("doc_id", F.coalesce(F.sha2("text", 256), F.lit("-")).alias("h"), F.lit(1).cast("long").alias("rows"))
-    for key, up in (("doc_id", "block"), ("block", "super"), ("super", "all")):
+    top, keys = level.agg(F.max("doc_id")).first()[0] or 0, ["doc_id", "block", "super"]
+    while top // 500 ** len(keys):
+        keys.append(f"super{len(keys)}")
+    for key, up in zip(keys, [*keys[1:], "all"], strict=True):
         part = F.struct(F.col(key), F.concat(F.col(key).cast("string"), F.lit(":"), F.col("h")).alias("s"))
         digest = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p.s), ","), 256)
         group = F.lit(0) if up == "all" else F.expr(f"{key} div 500")

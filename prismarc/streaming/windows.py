@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_dir
+
 
 def event_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -31,7 +34,19 @@ def commit_then_advance(sink: Callable[[DataFrame, int], None], state: Callable[
     return batch
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_to_files(df: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream to the end of its input; what each batch gives is written to the shared folder, where the offsets are kept, too.
+
+    Append gives the rows of all batches, complete those of the last one.
+    """
+    spark = df.sparkSession
+    path, batches = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}", []
+
+    def batch(rows: DataFrame, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        batches.append(n)
+
+    query = df.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", f"{path}/offsets").trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    kept = sorted(set(batches)) if mode == "append" else batches[-1:]
+    return spark.read.schema(df.schema).parquet(*[f"{path}/batch={n}" for n in kept]) if kept else spark.createDataFrame([], df.schema)
