@@ -102,6 +102,16 @@ def nearest_groups(vectors: DataFrame, queries: DataFrame, k: int, id_col: str =
     return found.select("query_id", group, "m.score", (-F.col("m.i")).alias(id_col)).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
+def pairs_above(left: DataFrame, right: DataFrame, least: float, id_col: str = "vec_id", vector_col: str = "embedding", extra: str = "label") -> DataFrame:
+    """left_id, right_id, score of all pairs of a score of ``least`` or more (of a table with itself, each pair once): every block against every block."""
+
+    def above(scores: np.ndarray, ids: np.ndarray, extras: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.nonzero(scores >= least)
+
+    met = _met(right, left, id_col, vector_col, extra, above, False).select(F.col("query_id").alias("left_id"), F.col(id_col).alias("right_id"), "score")
+    return met.filter("left_id < right_id") if left is right else met
+
+
 def dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
