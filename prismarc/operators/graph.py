@@ -39,13 +39,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     roots = written(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")))
     while True:
         near = both.join(roots.select(F.col("node").alias("other"), F.col("root").alias("theirs")), "other").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        better = roots.join(near, "node").select("node", F.least("root", "theirs").alias("next"))
-        jump = better.join(roots.select(F.col("node").alias("next"), F.col("root").alias("far")), "next", "left").select("node", F.least("next", F.coalesce("far", "next")).alias("root"))
-        jump = written(jump)
-        moved = jump.join(roots.withColumnRenamed("root", "old"), "node").filter("root <> old").limit(1).count()
-        roots = jump
-        if not moved:
-            return roots
+        better = roots.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "theirs").alias("next"))
+        jump = better.join(roots.select(F.col("node").alias("next"), F.col("root").alias("far")), "next", "left").select("node", "old", F.least("next", F.coalesce("far", "next")).alias("root"))
+        roots = written(jump)
+        if roots.filter("root <> old").isEmpty():
+            return roots.select("node", "root")
+        roots = roots.select("node", "root")
 
 
 def representatives(rows: DataFrame, key: str, id_col: str) -> DataFrame:
