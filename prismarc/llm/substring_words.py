@@ -99,11 +99,12 @@ def covered_spans(docs: DataFrame, windows: Windows) -> DataFrame:
     comparable = docs.filter(F.col("__id").isNotNull())
     runs = cut(run_table(comparable, windows, estimated_twice(comparable, windows)))
     found = classes(runs, within=False)
+    # written out, so that these exchanges are gone before the texts move
+    whole = cut(found.covered.selectExpr("__id", "__k", "__a AS __from", f"__a + __n + {windows.size} AS __to"))
     rows = window_rows(open_texts(comparable, found.open), windows)
     late = later_windows(rows, within=False).selectExpr("__id", "__k", "__from", f"__from + {windows.size} AS __to")
-    whole = found.covered.selectExpr("__id", "__k", "__a AS __from", f"__a + __n + {windows.size} AS __to")
     spans = span_lists(whole.unionByName(late))
-    drop(runs, *found.tables)
+    drop(runs, whole, *found.tables)
     return spans
 
 

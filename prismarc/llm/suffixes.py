@@ -162,13 +162,15 @@ def covered_spans(docs: DataFrame, windows: Windows) -> DataFrame:
     runs = cut(run_table(comparable, windows, among(twice)).join(twice, "__h", "left_semi"))
     drop(twice)
     found = classes(runs, within=True)
+    # written out, so that the runs' exchanges are gone before the texts move
+    whole = cut(found.covered.selectExpr("__id", "__k", "__a AS __from", f"__a + __n + {windows.size} AS __to"))
+    drop(runs)
     texts = open_texts(comparable, found.open)
     repeats = repeat_rows(run_bytes(of_runs(texts, False), windows.size), windows.size)
     late = repeats.filter(~F.col("__first")).selectExpr("__id", "__k", "__from", "__from + __length AS __to")
     frequent = later_windows(window_rows(of_runs(texts, True), windows), within=True).selectExpr("__id", "__k", "__from", f"__from + {windows.size} AS __to")
-    whole = found.covered.selectExpr("__id", "__k", "__a AS __from", f"__a + __n + {windows.size} AS __to")
     spans = span_lists(whole.unionByName(late).unionByName(frequent))
-    drop(runs, *found.tables)
+    drop(whole, *found.tables)
     return spans
 
 
