@@ -12,6 +12,7 @@ import re
 import unicodedata
 import uuid
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,25 +65,19 @@ def jaccard_or_zero(a: Column, b: Column) -> Column:
     return F.coalesce(X.jaccard(a, b), F.lit(0.0))
 
 
-def _simhash(features: list[str] | None) -> int:
-    ones, features = [0] * 64, [] if features is None else list(features)
-    for f in features:
-        h = int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big")
-        for b in range(64):
-            ones[b] += h >> b & 1
-    bits = sum(1 << b for b in range(64) if features and 2 * ones[b] >= len(features))
-    return bits - (1 << 64) if bits >> 63 else bits
-
-
-def word_trigrams(tokens: Column) -> Column:
-    """Three tokens in a row; the tokens where there are fewer."""
-    at = F.sequence(F.lit(1), F.greatest(F.size(tokens) - 2, F.lit(1)))
-    return F.when(F.size(tokens) < 3, tokens).otherwise(F.transform(at, lambda i: F.array_join(F.slice(tokens, i, 3), " ")))
+def _simhash(tokens: list[str] | None) -> int:
+    words = [] if tokens is None else list(tokens)
+    features = words if len(words) < 3 else [" ".join(g) for g in zip(words, words[1:], words[2:])]
+    if not features:
+        return 0
+    raw = b"".join(hashlib.blake2b(f.encode(), digest_size=8).digest() for f in features)
+    ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones >= len(features)).tobytes(), "big", signed=True)
 
 
 def simhash(tokens: Column) -> Column:
-    """64 bits by the sign of the sums over word trigrams (BLAKE2b), as a long."""
-    return by_value(_simhash, "long")(word_trigrams(tokens))
+    """64 bits by the sign of the sums over word trigrams (BLAKE2b; the words where there are fewer than three), as a long."""
+    return by_value(_simhash, "long")(tokens)
 
 
 def hamming(a: Column, b: Column) -> Column:

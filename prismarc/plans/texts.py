@@ -60,9 +60,12 @@ def near_texts(spark, d):
     often = nodes.select(F.explode("own").alias("token")).groupBy("token").agg(n().alias("often"))
     ranked = nodes.select("node", F.explode("own").alias("token")).join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"))
     first = F.slice("ranked", 1, (F.floor(F.size("ranked") * 0.12 + 1e-9) + 1).cast("int"))
-    keys = ranked.select("node", F.size("ranked").alias("size"), F.explode(F.transform(first, lambda x: F.xxhash64(x.token))).alias("key"))
-    right = keys.select(F.col("node").alias("other"), F.col("size").alias("other_size"), "key")
-    pairs = keys.join(right, "key").filter((F.col("node") < F.col("other")) & (F.least("size", "other_size") >= 0.88 * F.greatest("size", "other_size"))).select("node", "other").distinct()
+    # the narrow gates come first: lengths, sizes and fingerprints meet over the keys, token sets only where these are close
+    slim = nodes.select("node", "chars", "print", F.size("own").alias("size"))
+    keys = graph.written(ranked.select("node", F.explode(F.transform(first, lambda x: F.xxhash64(x.token))).alias("key")).join(slim, "node"))
+    right = keys.toDF("other", "key", "other_chars", "other_print", "other_size")
+    close = (F.least("size", "other_size") >= 0.88 * F.greatest("size", "other_size")) & (F.least("chars", "other_chars") >= 0.9 * F.greatest("chars", "other_chars")) & (N.hamming(F.col("print"), F.col("other_print")) <= 12)
+    pairs = graph.written(keys.join(right, "key").filter((F.col("node") < F.col("other")) & close).select("node", "other").distinct())
     b = nodes.select(F.col("node").alias("other"), F.col("doc_id").alias("right_id"), F.col("chars").alias("c2"), F.col("own").alias("o2"), F.col("print").alias("p2"))
     met = pairs.join(nodes, "node").join(b, "other")
     c = F.col
