@@ -3,8 +3,10 @@
 An archive is a table of chunks: a row holds at most ``CHUNK`` payload bytes of
 one record, with the record's identifier, the chunk's number and the SHA-1 of
 the payload up to and including this chunk.  The bytes of the rows, in order,
-are WARC/1.1 records.  Writing and reading stream: neither holds more than a
-batch of chunks beside the row at hand, and reading checks every digest.
+are WARC/1.1 records.  Payloads are cut into chunks by Spark expressions before
+they reach a worker, so writing and reading hold no more than a batch of chunks
+there (the JVM has the row's payload and its parts, as the input has it in one
+value), and reading checks every digest.
 
 Of records with equal payloads of at least ``least`` bytes the one with the
 smallest id is a response, the others are revisits of it; smaller ones are all
@@ -28,7 +30,9 @@ from .common import as_bytes, fresh_path, table
 
 CHUNK, BATCH = 1 << 18, 8 << 20
 TABLE = "archive_no int, record_no long, record_id string, chunk_no int, data binary, payload_sha1 string"
-HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+HTTP_START = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
+#: The tables have no dates, so all records have one.
+DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -37,7 +41,7 @@ def base32(digest: bytes) -> str:
 
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, least: int = 0) -> DataFrame:
-    """__id, __url, __kind, __refers, __bytes, __sha1 (hex), __payload (null for revisits).
+    """__id, __url, __kind, __refers, __refers_url, __bytes, __sha1 (hex), __payload (null for revisits).
 
     Payloads move by their id; a payload that a third of all rows share moves once.
     """
@@ -45,45 +49,64 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str,
     every = pages.select(F.col(id_col).alias("__id"), F.coalesce(F.col(url_col), F.lit("about:blank")).alias("__url"), raw.alias("__payload"))
     every = every.withColumns({"__bytes": F.octet_length("__payload").cast("long"), "__sha1": F.sha1("__payload")})
     slim = every.drop("__payload")
-    first = slim.groupBy("__sha1", "__bytes").agg(F.min("__id").alias("__first"))
+    first = slim.filter("__id IS NOT NULL").groupBy("__sha1", "__bytes").agg(F.min(F.struct("__id", "__url")).alias("__first"))
     told = slim.join(first, ["__sha1", "__bytes"])
-    again = (F.col("__id") != F.col("__first")) & (F.col("__bytes") >= least)
-    revisits = told.filter(again).select("__id", "__url", F.lit("revisit").alias("__kind"), F.col("__first").alias("__refers"), "__bytes", "__sha1", F.lit(None).cast("binary").alias("__payload"))
+    again = (F.col("__id") != F.col("__first.__id")) & (F.col("__bytes") >= least)
+    revisits = told.filter(again).select(
+        "__id", "__url", F.lit("revisit").alias("__kind"), F.col("__first.__id").alias("__refers"), F.col("__first.__url").alias("__refers_url"), "__bytes", "__sha1", F.lit(None).cast("binary").alias("__payload")
+    )
     gone = told.filter(again).select("__id", "__sha1", "__bytes").distinct()
+    kinds = dict(every.dtypes)
     responses = every.join(gone, ["__id", "__sha1", "__bytes"], "left_anti").select(
-        "__id", "__url", F.lit("response").alias("__kind"), F.lit(None).cast(dict(every.dtypes)["__id"]).alias("__refers"), "__bytes", "__sha1", "__payload"
+        "__id", "__url", F.lit("response").alias("__kind"), F.lit(None).cast(kinds["__id"]).alias("__refers"), F.lit(None).cast("string").alias("__refers_url"), "__bytes", "__sha1", "__payload"
     )
     return responses.unionByName(revisits)
 
 
-def record_head(kind: str, page: object, url: str, refers: object, size: int, sha1: bytes, block: int, block_sha1: bytes | None) -> tuple[str, bytes]:
-    name = f"<urn:uuid:{uuid.UUID(hashlib.md5(f'{page}|{url}'.encode()).hexdigest())}>"
+def in_chunks(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Planned records with their payloads cut: a row for each chunk, those of a record one after another.
+
+    Length, digests and parts are Spark expressions, so a worker sees chunks only; a record without payload has one empty chunk.
+    """
+    payload = F.coalesce(F.col("__payload"), F.lit(b""))
+    http = F.concat(F.encode(F.lit(HTTP_START), "UTF-8"), F.encode(F.concat(F.col("__bytes").cast("string"), F.lit("\r\n\r\n")), "UTF-8"))
+    many = F.greatest(F.lit(1), F.ceil(F.octet_length(payload) / F.lit(chunk)).cast("int"))
+    parts = F.transform(F.sequence(F.lit(0), many - 1), lambda k: F.substring(payload, k * chunk + 1, F.lit(chunk)))
+    head = ["__id", "__url", "__kind", "__refers", "__refers_url", "__bytes", "__sha1"]
+    return records.select(*head, F.sha1(F.concat(http, payload)).alias("__block"), many.alias("__many"), F.posexplode(parts).alias("__chunk", "__part"))
+
+
+def record_head(name: str, kind: str, page: object, url: str, refers: object, refers_url: str | None, size: int, sha1: bytes, block: int, block_sha1: bytes) -> bytes:
+    line = lambda text: "".join(c for c in text if c >= " ")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
         f"WARC-Record-ID: {name}",
-        "WARC-Date: 1970-01-01T00:00:00Z",
-        "WARC-Target-URI: " + "".join(c for c in url if c >= " "),
+        f"WARC-Date: {DATE}",
+        "WARC-Target-URI: " + line(url),
         "Content-Type: application/http;msgtype=response",
         f"WARC-Payload-Digest: sha1:{base32(sha1)}",
+        f"WARC-Block-Digest: sha1:{base32(block_sha1)}",
         f"X-Page-ID: {'' if page is None else page}",
         f"X-Payload-Bytes: {size}",
         f"Content-Length: {block}",
     ]
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {refers}"]
-    if block_sha1:
-        lines.append(f"WARC-Block-Digest: sha1:{base32(block_sha1)}")
-    return name, ("\r\n".join(lines) + "\r\n\r\n").encode()
+        lines += [f"WARC-Profile: {PROFILE}", "WARC-Refers-To-Target-URI: " + line(refers_url or ""), f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page: {refers}"]
+    return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
 def chunk_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """The record table of planned records."""
+    """The record table of planned records.
+
+    A record's identifier is made of its place (archive and number), so equal rows have identifiers of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        archive, record, held, size = TaskContext.get().partitionId(), 0, [], 0
+        archive, record, held, size = TaskContext.get().partitionId(), -1, [], 0
+        name, running = "", hashlib.sha1()
         fields = ("archive_no", "record_no", "record_id", "chunk_no", "data", "payload_sha1")
         kinds = (pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.string())
 
@@ -92,30 +115,29 @@ def chunk_rows(records: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
         for batch in batches:
             column = {f.name: batch.column(i) for i, f in enumerate(batch.schema)}
-            slim = {k: column[k].to_pylist() for k in ("__id", "__url", "__kind", "__refers", "__bytes", "__sha1")}
+            parts = column.pop("__part")
+            slim = {k: v.to_pylist() for k, v in column.items()}
             for i in range(batch.num_rows):
-                page, url, kind, refers, n, sha1 = (slim[k][i] for k in ("__id", "__url", "__kind", "__refers", "__bytes", "__sha1"))
-                payload = memoryview(column["__payload"][i].as_buffer()) if kind == "response" else b""
-                http = HTTP % n
-                block = hashlib.sha1(http)
-                block.update(payload)
-                name, head = record_head(kind, page, url, refers, n, bytes.fromhex(sha1), len(http) + len(payload), block.digest())
-                running = hashlib.sha1()
-                parts = max(1, -(-len(payload) // chunk))
-                for k in range(parts):
-                    part = payload[k * chunk : (k + 1) * chunk]
-                    running.update(part)
-                    data = b"".join((head + http if k == 0 else b"", part, b"\r\n\r\n" if k == parts - 1 else b""))
-                    held.append((archive, record, name, k, data, base32(running.digest())))
-                    size += len(data) + 100
-                    if size > BATCH:
-                        yield flush()
-                        held, size = [], 0
-                record += 1
+                row = {k: v[i] for k, v in slim.items()}
+                part, head = memoryview(parts[i].as_buffer()), b""
+                if row["__chunk"] == 0:
+                    record, running = record + 1, hashlib.sha1()
+                    name = f"<urn:uuid:{uuid.UUID(hashlib.md5(f'{archive}|{record}|{row["__id"]}|{row["__url"]}'.encode()).hexdigest())}>"
+                    http = (HTTP_START + f"{row['__bytes']}\r\n\r\n").encode()
+                    block = len(http) + (row["__bytes"] if row["__kind"] == "response" else 0)
+                    told = (row[k] for k in ("__kind", "__id", "__url", "__refers", "__refers_url", "__bytes"))
+                    head = record_head(name, *told, bytes.fromhex(row["__sha1"]), block, bytes.fromhex(row["__block"])) + http
+                running.update(part)
+                data = b"".join((head, part, b"\r\n\r\n" if row["__chunk"] == row["__many"] - 1 else b""))
+                held.append((archive, record, name, row["__chunk"], data, base32(running.digest())))
+                size += len(data) + 100
+                if size > BATCH:
+                    yield flush()
+                    held, size = [], 0
         if held:
             yield flush()
 
-    return records.mapInArrow(run, TABLE)
+    return in_chunks(records, chunk).mapInArrow(run, TABLE)
 
 
 class Reading:
