@@ -78,7 +78,11 @@ def splice_point(text: str, left: tuple, right: tuple, least: int, stable: int)
 
 
 def spliced_count(text: str, encode: Encode, chunk: int, overlap: int, stable: int) -> tuple[int, int, int]:
-    """(tokens, chunks encoded, times an overlap was widened) of a huge text."""
+    """(tokens, chunks encoded, times an overlap was widened) of a huge text.
+
+    Where no boundary can be proven the stretch held grows by four each time, so
+    a text without any is encoded a bounded number of times in all.
+    """
 
     def at(a: int, b: int) -> tuple[list[int], list[tuple[int, int]]]:
         ids, spans = encode(text[a:b])
@@ -86,13 +90,14 @@ def spliced_count(text: str, encode: Encode, chunk: int, overlap: int, stable: i
 
     total, chunks, widened, n = 0, 1, 0, len(text)
     begin, skip, end = 0, 0, min(chunk, n)  # skip: tokens of the held chunk that are counted already
+    step = chunk
     held = at(begin, end)
     least = 0
     while end < n:
         wide = overlap
         while True:
             start = max(end - wide, least)
-            stop = min(n, end + chunk)
+            stop = min(n, end + step)
             following = at(start, stop)
             chunks += 1
             found = splice_point(text, held, following, least, stable)
@@ -100,14 +105,16 @@ def spliced_count(text: str, encode: Encode, chunk: int, overlap: int, stable: i
                 place, i, j = found
                 total += i - skip
                 held, skip, least, begin, end = following, j, place, start, stop
+                step = chunk
                 break
             widened += 1
             if start == least:  # the overlap reaches the last proven boundary: this chunk alone replaces the held one
                 if skip and begin != least:
                     held = at(least, end)
                 held, skip, begin, end = following, 0, start, stop
+                step *= 4
                 break
-            wide *= 2
+            wide *= 8
     return total + len(held[0]) - skip, chunks, widened
 
 
