@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 from ..functions import text as X
 from ..operators import graph, ranking, vectors
 from ..streaming import windows
-from . import evaluation, families, fields, ledgers, links, projections, states, texts
+from . import evaluation, families, fields, ledgers, links, projections, releases, states, texts
 from .register import n, oracle_sql, queries, query, t
 
 __all__ = ["evaluation", "families", "fields", "flagship", "ledgers", "links", "oracle_sql", "projections", "queries", "states", "texts"]
