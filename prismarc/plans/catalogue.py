@@ -63,6 +63,7 @@ r AS (SELECT u AS node, u AS seen FROM f UNION SELECT r.node, f.v FROM r JOIN f
 SELECT node, min(seen) AS root FROM r GROUP BY node""")
 def connected_components(spark, d):
     rows = t(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("x"), F.sha2(X.template(F.col("text")), 256).alias("y"))
+    rows = graph.written(rows)  # the texts are read and hashed once for both kinds of star
     stars = [rows.join(rows.groupBy(k).agg(F.min("doc_id").alias("least")), k).filter("doc_id <> least").select("doc_id", "least") for k in ("x", "y")]
     return graph.components(stars[0].unionByName(stars[1]).distinct(), "doc_id", "least")
 
