@@ -22,7 +22,8 @@ for the two halves of the 128 bits; a polynomial over letters would give long
 words of Thue-Morse letters one value.  Polynomials are used over the hashes of
 at most a few hundred units only, where they are no danger.
 
-Documents are told apart by id and 24 bits of the hash of their text.  Rows with
+Documents are told apart by id and 23 bits of the hash of their text (the key, never negative once packed, so packed and
+plain keys have one order).  Rows with
 a null id are compared with nothing.
 """
 
@@ -34,7 +35,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut
@@ -290,7 +291,7 @@ def among(found: DataFrame) -> Test:
 
 
 def run_table(docs: DataFrame, windows: Windows, wanted: Test) -> DataFrame:
-    """__h (anchor), __c (run), __id, __p (24 bits of the text's hash, first window, windows - 1) of docs (__id, __k, __raw), of ``wanted`` anchors."""
+    """__h (anchor), __c (run), __id, __p (the text's key, first window, windows - 1) of docs (__id, __k, __raw), of ``wanted`` anchors."""
     id_type = dict(docs.dtypes)["__id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,10 +327,15 @@ def _bunches(raws: list[bytes]) -> Iterator[tuple[int, int]]:
         yield first, len(raws)
 
 
+def text_key(raw: Column) -> Column:
+    """23 bits of the hash of a text."""
+    return F.xxhash64(raw).bitwiseAND(0x7FFFFF)
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """__id, __k, __raw of all rows (null texts are empty)."""
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    return docs.select(F.col(id_col).alias("__id"), F.xxhash64(raw).bitwiseAND(0xFFFFFF).alias("__k"), raw.alias("__raw"))
+    return docs.select(F.col(id_col).alias("__id"), text_key(raw).alias("__k"), raw.alias("__raw"))
 
 
 @dataclass
@@ -343,7 +349,8 @@ class Classes:
 
 START, COUNT = "shiftrightunsigned(shiftleft(__p, 24), 32) AS __a", "__p & 255 AS __n"
 KEY = "shiftrightunsigned(__p, 40) AS __k"
-#: Anchors with more kinds of run than ``HOT`` are hot, ``HOTTEST`` at most: one beyond these has under 1 / HOTTEST of all runs.
+#: Anchors with more kinds of run than ``HOT`` are hot.  The ``HOTTEST`` of them are told to all tasks, so their runs meet nowhere;
+#: one beyond these has under 1 / HOTTEST of all runs and learns that it is hot in the join by anchor.
 HOT, HOTTEST = 2_048, 65_536
 
 
@@ -361,7 +368,7 @@ def classes(runs: DataFrame, within: bool) -> Classes:
     row, told = list(firsts.columns), firsts.hint("merge")
     covered = runs.join(told, row, "left_anti").selectExpr("__id", KEY, START, COUNT)
     rest = firsts if within else runs.join(told, row, "left_semi")
-    cold = rest.join(hot, "__h", "left_anti").join(kinds.select("__h").hint("merge"), "__h", "left_semi").withColumn("__hot", F.lit(False))
+    cold = rest.join(hot, "__h", "left_anti").join(kinds.select("__h", (F.col("__kinds") > HOT).alias("__hot")).hint("merge"), "__h").select(*rest.columns, "__hot")
     every = cold.unionByName(rest.join(hot, "__h", "left_semi").withColumn("__hot", F.lit(True)))
     return Classes(covered, every.selectExpr("__h", "__id", KEY, START, COUNT, "__hot"), (firsts, kinds))
 

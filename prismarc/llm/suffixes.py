@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, drop, renamed
-from .repeats import U, Windows, among, anchor_table, classes, keyed, later_windows, open_texts, run_table, span_lists, window_rows, with_spans
+from .repeats import U, Windows, among, anchor_table, classes, keyed, later_windows, open_texts, run_table, span_lists, text_key, window_rows, with_spans
 
 GRAM, SUFFIXES = 32, 200_000
 
@@ -232,7 +232,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id_col, text_col, chars_col = (at_place.get(c, c) for c in (id_col, text_col, chars_col))
     spans = covered_spans(keyed(docs, id_col, text_col), Windows(size, min(GRAM, size), False, True))
     raw = F.col(text_col).cast("binary")
-    every = docs.withColumns({"__id": F.col(id_col), "__k": F.xxhash64(F.coalesce(raw, F.lit(b""))).bitwiseAND(0xFFFFFF)})
+    every = docs.withColumns({"__id": F.col(id_col), "__k": text_key(F.coalesce(raw, F.lit(b"")))})
     joined = with_spans(every, spans).drop("__id", "__k").withColumn(text_col, raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

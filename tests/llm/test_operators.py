@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from prismarc.llm import chat, decontaminate, mixing, mpeg, quality, simhash, substring_words, suffixes, token_counts, warc
@@ -51,8 +52,9 @@ def brute_words(rows):
 
 
 def brute_bytes(rows):
+    """Texts of one id in the order of their keys, as the operator states it."""
     seen, out = set(), []
-    for i, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+    for i, t, _ in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode(), 42) & 0x7FFFFF)):
         b = (t or "").encode()
         gone = bytearray(len(b))
         for s in range(len(b) - 99):
@@ -77,10 +79,27 @@ def test_substring_words(spark, seed):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_suffix_arrays(spark, seed):
-    rows = [r for r in corpus(seed)][:-1]  # one text an id: other orders are a matter of the text's hash
+    rows = corpus(seed)
     assert collected(suffixes.dedup_bytes(frame(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(rows)
 
 
+def test_two_texts_of_one_id_keep_one_copy(spark):
+    r = random.Random(11)
+    say = lambda k: "".join(r.choices("abcdefghij klmnop", k=k))
+    rows = []
+    for i in range(12):
+        shared = say(1500)
+        rows += [(i, say(300) + shared + say(200), "x"), (i, say(250) + shared + say(350), "y")]
+    got = collected(suffixes.dedup_bytes(frame(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute_bytes(rows)
+    removed = {}
+    for i, _, gone, *_ in got:
+        removed.setdefault(i, []).append(gone)
+    assert all(sorted(x) == [0, max(x)] and max(x) >= 1500 for x in removed.values())
+    texts = suffixes.cut_repeats(frame(spark, rows).withColumn("n_chars", F.length("text"))).groupBy("doc_id").agg(F.sum(F.length("text"))).collect()
+    assert {i: n for i, n in texts} == {i: 4100 - max(removed[i]) for i in range(12)}
+
+
 def test_long_text_in_pieces(spark, monkeypatch):
     from prismarc.llm import repeats
 
