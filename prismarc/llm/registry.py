@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, mpeg, quality, simhash, substring_words, suffixes, token_counts, warc
+from . import chat, decontaminate, mixing, mpeg, quality, simhash, spelling, substring_words, suffixes, token_counts, warc
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring": op1_substring,
@@ -63,8 +67,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array": op8_suffix_array,
         "op9_quality": op9_quality,
         "op10_chat": op10_chat,
+        "op13_spelling": op13_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE, "op4_warc": warc.ORACLE, "op10_chat": chat.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op4_warc": warc.ORACLE, "op10_chat": chat.ORACLE, "op13_spelling": spelling.ORACLE}
