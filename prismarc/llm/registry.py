@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, mpeg, quality, simhash, spelling, substring_words, suffixes, token_counts, warc
+from . import chat, decontaminate, hard_negatives, mixing, mpeg, quality, simhash, spelling, substring_words, suffixes, token_counts, vector_dups, warc
 from .common import table
 
 
@@ -51,6 +51,16 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op11_radix_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_sorted_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -67,9 +77,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_suffix_array": op8_suffix_array,
         "op9_quality": op9_quality,
         "op10_chat": op10_chat,
+        "op11_radix_selection": op11_radix_selection,
+        "op12_sorted_projections": op12_sorted_projections,
         "op13_spelling": op13_spelling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE, "op4_warc": warc.ORACLE, "op10_chat": chat.ORACLE, "op13_spelling": spelling.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op4_warc": warc.ORACLE, "op10_chat": chat.ORACLE, "op11_radix_selection": hard_negatives.ORACLE, "op12_sorted_projections": vector_dups.ORACLE, "op13_spelling": spelling.ORACLE}
