@@ -89,14 +89,15 @@ def test_empty_tables(spark):
     assert found(vector_dups.near_vectors(spark.createDataFrame([(1, None, None), (2, [1.0], None)], SCHEMA))) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
-def test_query_and_its_sql(spark):
+def test_query_and_its_sql(spark, tmp_path):
     got = found(registry.queries()["op12_sorted_projections"](spark, SF))
     with duckdb.connect() as db:
         db.sql(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{SF}/embeddings.parquet')")
         sql = db.sql(registry.oracle_sql()["op12_sorted_projections"]).select("vec_id, n_links, component_id, kept").fetchall()
-        rows = [r for r in vectors(6, 120) if r[0] is not None and r[0] < 9000]
-        spark.createDataFrame(rows[:-3], SCHEMA).coalesce(1).write.mode("overwrite").parquet("file:///tmp/op12-planted/embeddings.parquet")
-        db.sql("CREATE OR REPLACE VIEW embeddings AS SELECT * FROM read_parquet('/tmp/op12-planted/embeddings.parquet/*.parquet')")
+        # squares of the SQL stay within doubles, and an id is one row
+        rows = [r for r in vectors(6, 120)[:-3] if r[0] is not None and r[0] < 9000 and 1e-99 < max(map(abs, r[1])) < 1e99]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"file://{tmp_path}/e.parquet")
+        db.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/e.parquet/*.parquet')")
         planted = db.sql(registry.oracle_sql()["op12_sorted_projections"]).select("vec_id, n_links, component_id, kept").fetchall()
     assert got == sorted(sql, key=repr)
-    assert sorted(planted, key=repr) == brute(rows[:-3])
+    assert sorted(planted, key=repr) == brute(rows)
