@@ -8,6 +8,10 @@ buckets that the source touches, rewrites those in which a row really changes,
 and names the old folders for the rest.  A merge that changes nothing writes no
 version.  A batch that a version names already isn't applied again.
 
+Beside the rows a version keeps what it changed (``changes``): the rows that came
+or were updated and those that went, so readers can follow a table without
+reading it again.
+
 Folders of old versions stay until ``vacuum``; a reader of any kept version sees
 the same rows always.  Manifests have a line a bucket, whatever the rows.
 
@@ -25,10 +29,14 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 BUCKETS = 64
-VERSIONS, ROWS, BATCHES = "_versions", "rows", "_batches"
+VERSIONS, ROWS, BATCHES, CHANGES = "_versions", "rows", "_batches", "changes"
+
+
+#: The column of ``changes`` that says what became of a row.
+ACTION = "_change"
 
 
 class StaleWriter(RuntimeError):
@@ -44,6 +52,7 @@ class Version:
     folders: dict[str, str] = field(default_factory=dict)
     batch: str | None = None
     counts: dict[str, int] = field(default_factory=dict)
+    changes: str | None = None
 
 
 class Files:
@@ -126,6 +135,13 @@ def read(spark: SparkSession, path: str, number: int | None = None) -> DataFrame
     return _rows(spark, path, version(spark, path, number))
 
 
+def changes(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The rows that a version brought, changed (as they are then) or took away, with ``ACTION``."""
+    v = version(spark, path, number)
+    schema = StructType.fromJson(v.schema).add(ACTION, StringType())
+    return spark.read.schema(schema).parquet(f"{path}/{CHANGES}/{v.changes}") if v.changes else spark.createDataFrame([], schema)
+
+
 def create(spark: SparkSession, path: str, schema: StructType, key: list[str], buckets: int = BUCKETS) -> None:
     """Version 0, without rows."""
     if not Files(spark, path).claim(json.dumps(Version(0, key, buckets, json.loads(schema.json())).__dict__), VERSIONS, _name(0)):
@@ -139,12 +155,13 @@ def latest_rows(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return best.select(*key, *[F.col("_best")[c].alias(c) for c in rest]).select(*rows.columns)
 
 
-def merge(spark: SparkSession, path: str, source: DataFrame, when: str | None = None, values: dict[str, str] | None = None, insert: str | None = None, delete: str | None = None, order: str | None = None, batch: str | None = None, read_at: int | None = None) -> dict[str, int | bool]:
+def merge(spark: SparkSession, path: str, source: DataFrame, when: str | None = None, values: dict[str, str] | None = None, insert: str | None = None, delete: str | None = None, delete_by: str | None = None, order: str | None = None, batch: str | None = None, read_at: int | None = None) -> dict[str, int | bool]:
     """Merges ``source`` into the table at ``path``: version, replayed, inserted, updated, deleted, unchanged (rows of the source).
 
     Conditions and values are SQL over the stored row ``t`` and the source's ``s``.  A matched row takes ``values`` (all columns
     of ``s`` if none are given) if ``when`` holds; without ``when``, if that changes it.  It goes if ``delete`` holds.  A new key
-    comes in if ``insert`` holds (always, if not given).  ``read_at`` is the version that the caller has decided upon.
+    comes in if ``insert`` holds (always, if not given).  ``delete_by`` is a further column of the source: where it is true the
+    key goes, and doesn't come in.  ``read_at`` is the version that the caller has decided upon.
     """
     files, base = Files(spark, path), version(spark, path)
     if batch is not None and (batch == base.batch or files.text(BATCHES, f"{batch}.json") is not None):
@@ -152,10 +169,11 @@ def merge(spark: SparkSession, path: str, source: DataFrame, when: str | None =
     if read_at is not None and read_at != base.number:
         raise StaleWriter(f"{path}: decided upon version {read_at}, there is {base.number}")
     columns = [f["name"] for f in base.schema["fields"]]
-    if unknown := set(source.columns) - set(columns):
+    if unknown := set(source.columns) - set(columns) - {delete_by}:
         raise ValueError(f"no such columns: {sorted(unknown)}")
     types = {f.name: f.dataType for f in StructType.fromJson(base.schema).fields}
-    own = source.select(*[(F.col(c) if c in source.columns else F.lit(None)).cast(types[c]).alias(c) for c in columns])
+    gone = F.coalesce(F.col(delete_by), F.lit(False)) if delete_by else F.lit(False)
+    own = source.select(*[(F.col(c) if c in source.columns else F.lit(None)).cast(types[c]).alias(c) for c in columns], gone.alias("__gone"))
     work = uuid.uuid4().hex
     if order is not None:
         own = latest_rows(own, base.key, order)
@@ -167,7 +185,7 @@ def merge(spark: SparkSession, path: str, source: DataFrame, when: str | None =
             raise ValueError(f"keys repeat in the source: {twice.first()}")
         touched = [r[0] for r in own.select("__bucket").distinct().collect()]  # as many as there are buckets, at most
         stored = _rows(spark, path, base, touched)
-        t, s = stored.select(F.struct(*columns).alias("t"), *[F.col(k).alias(f"__t{i}") for i, k in enumerate(base.key)]), own.select(F.struct(*columns).alias("s"), *[F.col(k).alias(f"__s{i}") for i, k in enumerate(base.key)])
+        t, s = stored.select(F.struct(*columns).alias("t"), *[F.col(k).alias(f"__t{i}") for i, k in enumerate(base.key)]), own.select(F.struct(*columns).alias("s"), "__gone", *[F.col(k).alias(f"__s{i}") for i, k in enumerate(base.key)])
         same = F.lit(True)
         for i in range(len(base.key)):
             same &= F.col(f"__t{i}").eqNullSafe(F.col(f"__s{i}"))
@@ -176,14 +194,14 @@ def merge(spark: SparkSession, path: str, source: DataFrame, when: str | None =
         fit = F.expr(when) if when else ~F.xxhash64(sets).eqNullSafe(F.xxhash64("t"))
         action = (
             F.when(F.col("s").isNull(), "kept")
-            .when(F.col("t").isNull(), F.when(F.expr(insert) if insert else F.lit(True), "inserted").otherwise("unchanged"))
-            .when(F.coalesce(F.expr(delete), F.lit(False)) if delete else F.lit(False), "deleted")
+            .when(F.col("t").isNull(), F.when(F.col("__gone"), "unchanged").when(F.expr(insert) if insert else F.lit(True), "inserted").otherwise("unchanged"))
+            .when(F.col("__gone") | (F.coalesce(F.expr(delete), F.lit(False)) if delete else F.lit(False)), "deleted")
             .when(F.coalesce(fit, F.lit(False)), "updated")
             .otherwise("unchanged")
         )
         told = both.withColumn("__action", action)
         told = told.withColumn("__row", F.when(F.col("__action") == "updated", sets).when(F.col("__action") == "inserted", F.col("s")).when(F.col("__action") != "deleted", F.col("t")))
-        places = told.select("__action", "__row", bucket([F.coalesce(F.col("s")[k], F.col("t")[k]) for k in base.key], base.buckets).alias("__bucket"))
+        places = told.select("__action", "__row", "t", bucket([F.coalesce(F.col("s")[k], F.col("t")[k]) for k in base.key], base.buckets).alias("__bucket"))
         # which buckets change is decided before anything is written
         changes = places.filter("__action IN ('inserted', 'updated', 'deleted')").select("__bucket").distinct()
         tally = {r["__action"]: r["count"] for r in places.groupBy("__action").count().collect()}
@@ -193,13 +211,17 @@ def merge(spark: SparkSession, path: str, source: DataFrame, when: str | None =
         changed = [r[0] for r in changes.collect()]
         fresh = places.filter(F.col("__bucket").isin(changed) & F.col("__row").isNotNull()).select("__row.*", F.col("__bucket").alias("bucket"))
         name = f"{base.number + 1:019d}-{work}"
+        told = F.when(F.col("__action") == "deleted", F.col("t")).otherwise(F.col("__row"))
+        moved = places.filter("__action IN ('inserted', 'updated', 'deleted')").select(told.alias("__row"), "__action").select("__row.*", F.col("__action").alias(ACTION))
+        moved.write.parquet(f"{path}/{CHANGES}/{name}")
         fresh.repartition("bucket").sortWithinPartitions(*base.key).write.partitionBy("bucket").parquet(f"{path}/{ROWS}/{name}")
         made = {n.partition("=")[2]: f"{name}/{n}" for n in files.names(ROWS, name) if n.startswith("bucket=")}
         folders = {b: f for b, f in base.folders.items() if int(b) not in changed} | made
         if base.batch is not None:
             files.claim(json.dumps({"version": base.number}), BATCHES, f"{base.batch}.json")
-        if not files.claim(json.dumps(Version(base.number + 1, base.key, base.buckets, base.schema, folders, batch, counts).__dict__), VERSIONS, _name(base.number + 1)):
+        if not files.claim(json.dumps(Version(base.number + 1, base.key, base.buckets, base.schema, folders, batch, counts, name).__dict__), VERSIONS, _name(base.number + 1)):
             files.drop(ROWS, name)
+            files.drop(CHANGES, name)
             raise StaleWriter(f"{path}: version {base.number + 1} came meanwhile")
         return {"version": base.number + 1, "replayed": False, **counts}
     finally:
@@ -212,6 +234,8 @@ def vacuum(spark: SparkSession, path: str, keep: int = 1) -> int:
     kept = [version(spark, path, v) for v in every[-keep:]]
     named = {f for v in kept for f in v.folders.values()}
     for v in every[:-keep]:
+        if (old := version(spark, path, v).changes) is not None:
+            files.drop(CHANGES, old)
         files.drop(VERSIONS, _name(v))
     gone = 0
     for name in files.names(ROWS):
