@@ -54,6 +54,7 @@ def normal_gallery(c: Column) -> Column:
 
 
 #: Runs of Latin letters and digits, Hangul, Chinese characters, kana.
+#: The scripts whose runs are tokens.
 SCRIPTS = "([a-z0-9]+|[가-힣]+|[㐀-鿿]+|[぀-ヿ]+)"
 
 
@@ -65,19 +66,22 @@ def jaccard_or_zero(a: Column, b: Column) -> Column:
     return F.coalesce(X.jaccard(a, b), F.lit(0.0))
 
 
-def _simhash(tokens: list[str] | None) -> int:
-    words = [] if tokens is None else list(tokens)
-    features = words if len(words) < 3 else [" ".join(g) for g in zip(words, words[1:], words[2:])]
-    if not features:
+def _majority(tokens: list[str] | None) -> int:
+    """The bits that at least half of the digests of all windows of three tokens have (of one token, in shorter lists); 0 without tokens."""
+    count = 0 if tokens is None else len(tokens)
+    if not count:
         return 0
-    raw = b"".join(hashlib.blake2b(f.encode(), digest_size=8).digest() for f in features)
-    ones = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones >= len(features)).tobytes(), "big", signed=True)
+    width = 3 if count > 2 else 1
+    digests = bytearray()
+    for at in range(count - width + 1):
+        digests += hashlib.blake2b(" ".join(tokens[at : at + width]).encode(), digest_size=8).digest()
+    ones = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones >= count - width + 1).tobytes(), "big", signed=True)
 
 
 def simhash(tokens: Column) -> Column:
-    """64 bits by the sign of the sums over word trigrams (BLAKE2b; the words where there are fewer than three), as a long."""
-    return by_value(_simhash, "long")(tokens)
+    """64 bits by the majority over word trigrams (words, where there are fewer than three), as a long."""
+    return by_value(_majority, "long")(tokens)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -101,7 +105,7 @@ def near_score(chars: tuple[Column, Column], tokens: tuple[Column, Column], prin
     return F.when(gates, F.round(overlap * 0.75 + length * 0.2 + (64 - bits) / 64 * 0.05, 6))
 
 
-#: Slots, fixed patterns: brackets, braces, angle brackets, quotes, numbers.
+#: Fixed values (numbers by ASCII digits, as Java's patterns take them): brackets, braces, angle brackets, quotes, numbers.
 SLOTS = (r"\[[^\]\n]{1,80}\]", r"\{[^}\n]{1,80}\}", r"<[^>\n]{1,80}>", "(?:\"[^\"\n]{1,120}\"|'[^'\n]{1,120}')", r"\b[0-9]+(?:[.:/-][0-9]+)*\b")
 
 

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
-import re
 from collections.abc import Callable, Sequence
-from urllib.parse import urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -58,33 +56,6 @@ def rights_status(restricted: Column, evidence_hash: Column, content_hash: Colum
     return F.when(F.coalesce(restricted, F.lit(False)), "restricted").when(F.coalesce(evidence_hash == content_hash, F.lit(False)), "verified").otherwise("unverified")
 
 
-_LABEL = re.compile(r"[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?", re.I)
-_NUMERIC = re.compile(r"(0x[0-9a-f]+|\d+)(\.(0x[0-9a-f]+|\d+))*\.?", re.I)
-
-
-def public_link(value: str | None) -> str | None:
-    """A link that may be shown: http(s), to a public host, without credentials, query and odd fragments; else None."""
-    if not value or len(value) > 4096 or re.search(r"[\\\s\x00-\x1f\x7f]", value):
-        return None
-    try:
-        parts = urlsplit(value)
-        host, port = parts.hostname, parts.port
-        known = host and parts.scheme in ("http", "https") and "@" not in parts.netloc and "%" not in host and port != 0
-        if not known or re.search(r"(^|\.)(localhost|localdomain|local|internal)\.?$", host, re.I):
-            return None
-        try:
-            shown = ipaddress.ip_address(host).is_global
-        except ValueError:
-            labels = host.encode("idna").decode().rstrip(".").split(".")
-            shown = len(labels) > 1 and not _NUMERIC.fullmatch(host) and all(map(_LABEL.fullmatch, labels))
-    except (ValueError, UnicodeError):
-        return None
-    if not shown:
-        return None
-    where = (f"[{host}]" if ":" in host else host) + (f":{port}" if port else "")
-    return urlunsplit((parts.scheme, where, parts.path, "", parts.fragment if re.fullmatch(r"[\w-]{1,128}", parts.fragment, re.A) else ""))
-
-
 def by_value(f: Callable[[str | None], object], kind: str) -> Callable[[Column], Column]:
     """A column function from one on single values, in Arrow batches, for what Spark has no expression for."""
 
@@ -94,9 +65,42 @@ def by_value(f: Callable[[str | None], object], kind: str) -> Callable[[Column],
     return lambda c: F.pandas_udf(each, kind)(c)
 
 
+#: The parts of a link: scheme, host (a name, or an address in brackets), port, path, query, fragment.  No user name fits.
+LINK = r"^(?i)(https?)://(\[[0-9a-f:.]+\]|[^/?#@:\[\]%]+)(?::([0-9]{0,9}))?(/[^?#]*)?(\?[^#]*)?(?:#(.*))?$"
+#: Last labels of names that lead nowhere outside.
+INSIDE = ("internal", "local", "localhost")
+
+
+def in_open_ranges(addresses: pd.Series) -> pd.Series:
+    """Whether each is an address as it is written and outside of the reserved ranges, for which Spark has no expression."""
+
+    def one(a: str | None) -> bool:
+        try:
+            return a is not None and ipaddress.ip_address(a).is_global
+        except ValueError:
+            return False
+
+    return pd.Series([one(a) for a in addresses], dtype=bool)
+
+
 def public_url(c: Column) -> Column:
-    """``public_link`` of each; address ranges have no expression in Spark."""
-    return by_value(public_link, "string")(c)
+    """A link that may be shown: http(s) to a public host, with its path and a plain fragment; else null.
+
+    A host is a name of two labels or more that doesn't end inside, or an address in its usual form: what browsers would
+    read as one (numbers only, octal, hex) isn't a name.
+    """
+    part = lambda i: F.regexp_extract(c, LINK, i)
+    host, port, fragment = F.lower(part(2)), F.nullif(part(3), F.lit("")), part(6)
+    labels = F.split(F.regexp_replace(host, r"\.+$", ""), r"\.")
+    address = F.startswith(host, F.lit("[")) | F.forall(labels, lambda l: l.rlike("^(0x[0-9a-f]+|[0-9]+)$"))
+    plain = lambda l: (F.octet_length(l) <= 63) & l.rlike(r"^[\p{L}\p{N}]$|^[\p{L}\p{N}][\p{L}\p{N}\p{M}-]*[\p{L}\p{N}\p{M}]$")
+    name = (F.size(labels) > 1) & F.forall(labels, plain) & ~F.element_at(labels, -1).isin(*INSIDE) & (F.array_join(labels, ".") != "localhost.localdomain")
+    shown = F.when(address, F.pandas_udf(in_open_ranges, "boolean")(F.when(address, F.btrim(host, F.lit("[]"))))).otherwise(name)
+    sound = (F.octet_length(c) > 0) & (F.char_length(c) <= 4096) & ~c.rlike(r"[\\\x00-\x1f\x7f]|(?U)\s") & c.rlike(LINK)
+    sound &= F.coalesce(port.cast("long").between(1, 65535), F.lit(True))
+    end = F.when(port.isNotNull(), F.concat(F.lit(":"), port.cast("long").cast("string"))).otherwise("")
+    mark = F.when(fragment.rlike("^[A-Za-z0-9_-]{1,128}$"), F.concat(F.lit("#"), fragment)).otherwise("")
+    return F.when(sound & shown, F.concat(F.lower(part(1)), F.lit("://"), host, end, part(4), mark))
 
 
 def families(ids: Column) -> Column:

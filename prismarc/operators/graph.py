@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,32 +76,38 @@ def _cliques_over(vertex: object, above: dict, below: dict) -> Iterator[list]:
 def cliques(links: DataFrame, a: str, b: str) -> DataFrame:
     """members (sorted): every maximal clique of two nodes or more, once.
 
-    A clique is found at its least node, from the links among that node's neighbours (its triangles), so no component has to
-    fit one task.  Copies should be one node: a node with many neighbours is a task as large as the links among these.
+    Nodes are ordered by their number of links, then by id, and a clique is found at its first node in that order, from the
+    triangles that begin there and those in which the node is the second.  A node has at most as many neighbours after it as
+    the root of twice the number of links, however many it has in all, so a hub's links never meet each other.
     """
     e = links.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL AND u <> v").distinct()
     e = written(e)
     kind = dict(e.dtypes)["u"]
-    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    # of node x: links between two of its neighbours; neighbours without such links stand alone
-    wedges = both.select(F.col("u").alias("x"), F.col("v").alias("p")).join(e.select(F.col("u").alias("p"), F.col("v").alias("q")), "p")
-    inner = wedges.join(both.select(F.col("u").alias("x"), F.col("v").alias("q")), ["x", "q"]).select("x", "p", "q")
-    rows = inner.unionByName(both.select(F.col("u").alias("x"), F.col("v").alias("p"), F.lit(None).cast(kind).alias("q")))
-
-    def local(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x = key[0]
-        near: dict = {}
-        for p, q in zip(part["p"].tolist(), part["q"].tolist(), strict=True):
+    often = written(e.select(F.explode(F.array("u", "v")).alias("n")).groupBy("n").count())
+    place = F.struct("count", "n")
+    ranked = e.join(often.select(F.col("n").alias("u"), place.alias("ru")), "u").join(often.select(F.col("n").alias("v"), place.alias("rv")), "v")
+    first, last = F.least("ru", "rv"), F.greatest("ru", "rv")
+    out = written(ranked.select(first["n"].alias("x"), last["n"].alias("p"), last.alias("r")))
+    wedges = out.join(out.toDF("x", "q", "s"), "x").filter("r < s").select("x", "p", "q")
+    closed = written(wedges.join(out.select(F.col("x").alias("p"), F.col("p").alias("q")), ["p", "q"]).select("x", "p", "q"))
+    none = F.lit(None).cast(kind)
+    rows = out.select("x", F.lit(0).alias("side"), "p", none.alias("q")).unionByName(closed.select("x", F.lit(0).alias("side"), "p", "q"))
+    rows = rows.unionByName(closed.select(F.col("p").alias("x"), F.lit(1).alias("side"), F.col("x").alias("p"), "q"))
+
+    def local(key: tuple, part: pa.Table) -> pa.Table:
+        above: dict = {}
+        below: dict = {}
+        for side, p, q in zip(*(part.column(c).to_pylist() for c in ("side", "p", "q")), strict=True):
+            near = below if side else above
             near.setdefault(p, set())
-            if q is not None and q == q:
-                near[p].add(type(p)(q))
-                near.setdefault(type(p)(q), set()).add(p)
-        above = {v: {n for n in ns if n > x} for v, ns in near.items() if v > x}
-        below = {v: ns for v, ns in near.items() if v < x}
-        found = [sorted(c) for c in _cliques_over(x, above, below) if len(c) > 1] if above else []
-        return pd.DataFrame({"members": pd.Series(found, dtype=object)})
-
-    return rows.groupBy("x").applyInPandas(local, f"members array<{kind}>")
+            if q is not None:
+                near[p].add(q)
+                if not side:
+                    above.setdefault(q, set()).add(p)
+        found = [sorted(c) for c in _cliques_over(key[0].as_py(), above, below) if len(c) > 1] if above else []
+        return pa.table({"members": pa.array(found, pa.list_(part.schema.field("p").type))})
+
+    return rows.groupBy("x").applyInArrow(local, f"members array<{kind}>")
 
 
 def resolve_aliases(links: DataFrame, child: str, parent: str) -> DataFrame:

@@ -52,7 +52,9 @@ def near_texts(spark, d):
     """Near copies by the gated score, over all documents whose token sets can overlap enough.
 
     A Jaccard similarity of 0.88 leaves at most 12 in 100 tokens of the union to one side, so two such sets share one of the
-    first (rarest first) floor(0.12 n) + 1 tokens of each: those are the keys.  Texts with equal tokens are one node.
+    first (rarest first) floor(0.12 n) + 1 tokens of each: those are the keys.  Texts with equal tokens, length and fingerprint
+    are one node: pairs of nodes are those of their least documents, and every other document of a node is a pair with that one
+    (score 1), so each link is a pair of these or follows from it by the members.
     """
     rows = t(spark, d, "documents").select("doc_id", N.normal_text(F.col("text")).alias("said"))
     rows = graph.written(rows.select("doc_id", F.length("said").alias("chars"), N.script_tokens(F.col("said")).alias("all")).select("doc_id", "chars", F.array_sort(F.array_distinct("all")).alias("own"), N.simhash(F.col("all")).alias("print")).filter(F.size("own") > 0))
@@ -70,7 +72,9 @@ def near_texts(spark, d):
     met = pairs.join(nodes, "node").join(b, "other")
     c = F.col
     score = N.near_score((c("chars"), c("c2")), (c("own"), c("o2")), (c("print"), c("p2")))
-    return met.select(F.least("doc_id", "right_id").alias("left_id"), F.greatest("doc_id", "right_id").alias("right_id"), score.alias("score")).filter("score IS NOT NULL")
+    apart = met.select(F.least("doc_id", "right_id").alias("left_id"), F.greatest("doc_id", "right_id").alias("right_id"), score.alias("score")).filter("score IS NOT NULL")
+    members = rows.select(F.xxhash64("own", "print", "chars").alias("node"), F.col("doc_id").alias("right_id")).join(nodes.select("node", "doc_id"), "node").filter("right_id > doc_id").distinct()
+    return apart.unionByName(members.select(F.col("doc_id").alias("left_id"), "right_id", F.lit(1.0).alias("score")))
 
 
 @query()
