@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 BUCKETS = 64
 VERSIONS, ROWS, BATCHES, CHANGES = "_versions", "rows", "_batches", "changes"
@@ -179,7 +179,7 @@ def merge(spark: SparkSession, path: str, source: DataFrame, when: str | None =
         own = latest_rows(own, base.key, order)
     # written once, so that all that follows sees the same source
     own.withColumn("__bucket", bucket(base.key, base.buckets)).write.parquet(f"{path}/{ROWS}/.{work}/source")
-    own = spark.read.schema(own.schema.add("__bucket", IntegerType())).parquet(f"{path}/{ROWS}/.{work}/source")
+    own = spark.read.schema(StructType([*own.schema.fields, StructField("__bucket", IntegerType())])).parquet(f"{path}/{ROWS}/.{work}/source")
     try:
         if order is None and not (twice := own.groupBy(*base.key).count().filter("count > 1").limit(1)).isEmpty():
             raise ValueError(f"keys repeat in the source: {twice.first()}")

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import tables
+from ..operators import readback, tables
 from ..operators.graph import shared_dir
 from ..sources import sinks
 from .register import n, query, t
@@ -92,3 +92,24 @@ def guarded_days(spark, d):
         sums = e.filter(F.col("user_id") % 3 == part).groupBy(day).agg(n().alias("n"))
         tables.merge(spark, path, sums, when=f"t.n + s.n <= {cap}", values={"n": "t.n + s.n"}, insert=f"s.n <= {cap}", batch=f"part {part}")
     return tables.read(spark, path)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 97 = 3 THEN 'missing' ELSE 'changed' END AS state FROM documents WHERE doc_id % 97 = 3 OR doc_id % 50 = 0
+UNION ALL SELECT doc_id + 1000000000, 'extra' FROM documents WHERE doc_id % 89 = 0""")
+def differing_rows(spark, d):
+    """What a copy of the documents lacks, has more or otherwise: found by digests, level by level."""
+    docs, path = t(spark, d, "documents").select("doc_id", "lang", "text"), place(spark, "compared")
+    copy = docs.filter("doc_id % 97 <> 3").withColumn("text", F.when(F.col("doc_id") % 50 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("."))).otherwise(F.col("text")))
+    more = docs.filter("doc_id % 89 = 0").withColumn("doc_id", F.col("doc_id") + 1_000_000_000)
+    for name, rows in (("left", docs), ("right", copy.unionByName(more))):
+        readback.stage(rows, f"{path}/{name}", ["doc_id"])
+    return readback.differences(spark, f"{path}/left", f"{path}/right", docs.schema, ["doc_id"])[0]
+
+
+@query("""SELECT doc_id, lang FROM documents WHERE doc_id % 2 = 0""")
+def flipped_store(spark, d):
+    """Two stores published one after the other, each read back and compared first; readers see the second."""
+    docs, root = t(spark, d, "documents").select("doc_id", "lang"), place(spark, "root")
+    readback.publish(docs, root, ["doc_id"])
+    readback.publish(docs.filter("doc_id % 2 = 0"), root, ["doc_id"])
+    return spark.read.schema(docs.schema).parquet(f"{readback.current(spark, root)}/{readback.ROWS}").select(*docs.columns)
