@@ -59,9 +59,12 @@ def group_recommendations(spark, d):
     return reviews.recommended(rows, "digest", "doc_id", "signal").filter("members > 1").withColumn("reasons", F.array_join("reasons", " "))
 
 
-@query("""WITH a AS (SELECT d.doc_id, sha256(text) AS h, coalesce(toxic, 0) <> 1 AS visible, coalesce(list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'and'), false) OR coalesce(contains(lower(text), 'schkeit'), false) OR (quality = 1 AND lang = 'es') IS TRUE AS hit FROM documents d LEFT JOIN labels USING (doc_id)),
+COLLAPSED = """WITH a AS (SELECT d.doc_id, sha256(text) AS h, coalesce(toxic, 0) <> 1 AS visible, coalesce(list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), 'and'), false) OR coalesce(contains(lower(text), 'schkeit'), false) OR (quality = 1 AND lang = 'es') IS TRUE AS hit FROM documents d LEFT JOIN labels USING (doc_id)),
 g AS (SELECT h, arg_min(visible, doc_id) AS shown, min(doc_id) AS least, min(CASE WHEN hit THEN doc_id END) AS first, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS matched FROM a WHERE h IS NOT NULL GROUP BY h)
-SELECT doc_id, CASE WHEN g.h IS NULL THEN doc_id WHEN shown THEN least ELSE first END AS item, coalesce(matched, 1) AS matched FROM a LEFT JOIN g ON a.h = g.h WHERE hit""")
+SELECT doc_id, CASE WHEN g.h IS NULL THEN doc_id WHEN shown THEN least ELSE first END AS item, coalesce(matched, 1) AS matched FROM a LEFT JOIN g ON a.h = g.h WHERE hit"""
+
+
+@query(COLLAPSED)
 def collapsed_search(spark, d):
     """Hits by a word, by a part of one or by an alias, each with the item that stands for its group of equal texts."""
     rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left")

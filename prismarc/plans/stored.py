@@ -6,9 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import readback, tables
+from ..operators import postings, readback, reviews, tables
 from ..operators.graph import shared_dir
 from ..sources import sinks
+from . import releases
 from .register import n, query, t
 
 
@@ -113,3 +114,47 @@ def flipped_store(spark, d):
     readback.publish(docs, root, ["doc_id"])
     readback.publish(docs.filter("doc_id % 2 = 0"), root, ["doc_id"])
     return spark.read.schema(docs.schema).parquet(f"{readback.current(spark, root)}/{readback.ROWS}").select(*docs.columns)
+
+
+_AND = "list_has_all(regexp_extract_all(lower(text), '[a-z0-9]+'), ['the', 'and', 'of'])"
+
+
+def indexed(spark, d) -> str:
+    """A fresh index of the documents."""
+    path = place(spark, "postings")
+    postings.build(t(spark, d, "documents"), path)
+    return path
+
+
+@query(f"SELECT DISTINCT doc_id FROM documents WHERE {_AND}")
+def indexed_and_search(spark, d):
+    """``lexical_and_search`` by the index."""
+    return postings.with_all(spark, indexed(spark, d), ["the", "and", "of"]).withColumnRenamed("id", "doc_id")
+
+
+@query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents)
+SELECT doc_id, count(*) AS score FROM w WHERE token IN ('the', 'and', 'of') GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 25""")
+def indexed_top(spark, d):
+    """The 25 documents in which three tokens stand most often, by block maxima."""
+    return postings.top(spark, indexed(spark, d), ["the", "and", "of"], 25).withColumnRenamed("id", "doc_id")
+
+
+@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents)
+SELECT doc_id, bool_or(starts_with(token, 'sch')) AS begins, bool_or(contains(token, 'schkeit')) AS holds FROM w WHERE starts_with(token, 'sch') OR contains(token, 'schkeit') GROUP BY doc_id""")
+def indexed_parts(spark, d):
+    """Documents with a token that begins with a string, or holds another."""
+    path = indexed(spark, d)
+    begins, holds = postings.containing(spark, path, "sch", prefix=True), postings.containing(spark, path, "schkeit")
+    both = begins.withColumn("begins", F.lit(True)).join(holds.withColumn("holds", F.lit(True)), "id", "full")
+    return both.select(F.col("id").alias("doc_id"), F.coalesce("begins", F.lit(False)).alias("begins"), F.coalesce("holds", F.lit(False)).alias("holds"))
+
+
+@query(releases.COLLAPSED)
+def indexed_collapsed(spark, d):
+    """``collapsed_search`` with its word and its part of a word from the index: texts are read for their groups only."""
+    path = indexed(spark, d)
+    hits = postings.with_any(spark, path, ["and"]).unionByName(postings.containing(spark, path, "schkeit")).distinct().select(F.col("id").alias("doc_id"), F.lit(True).alias("found"))
+    rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left").join(hits, "doc_id", "left")
+    hit = F.coalesce("found", F.lit(False)) | F.coalesce((F.col("quality") == 1) & (F.col("lang") == "es"), F.lit(False))
+    items = rows.select("doc_id", F.sha2("text", 256).alias("h"), (F.coalesce("toxic", F.lit(0)) != 1).alias("visible"), hit.alias("hit"))
+    return reviews.collapsed(items, "doc_id", "h", "hit", "visible")
