@@ -9,10 +9,10 @@ from pyspark.sql.window import Window as W
 from ..functions import text as X
 from ..operators import graph, ranking, vectors
 from ..streaming import windows
-from . import evaluation, families, fields, ledgers, links, media, projections, releases, states, stored, streams, texts
+from . import evaluation, families, fields, ledgers, links, media, projections, releases, reviews, states, stored, streams, texts
 from .register import n, oracle_sql, queries, query, t
 
-__all__ = ["evaluation", "families", "fields", "flagship", "ledgers", "links", "media", "oracle_sql", "projections", "queries", "states", "stored", "streams", "texts"]
+__all__ = ["evaluation", "families", "fields", "flagship", "ledgers", "links", "media", "oracle_sql", "projections", "queries", "reviews", "states", "stored", "streams", "texts"]
 
 # groups of equal rows
 
