@@ -180,26 +180,58 @@ def structural_score(c: Column) -> Column:
     return F.coalesce(score, F.lit(0)).cast("long")
 
 
-_NAMED = r'\{argument[ ]+name=(?P<q>"|\')(?P<name>[^"\'\n]*)(?P=q)(?:[ ]+default=(?P<r>"|\')(?P<default>[^"\'\n]*)(?P=r))?[ ]*\}'
-_SHORT = r'\[\[(?P<short>[A-Za-z_][\w -]*?)(?:\|(?P<given>[^\]\n]*))?\]\]'
-ARGUMENTS = re.compile(f"{_NAMED}|{_SHORT}")
-MARKS = re.compile(r"\{argument\b|\[\[")
+#: What opens a literal argument, and its two fields.  ``[[name|default]]`` is a short form of our own.
+OPENS, FIELDS = "{argument", ("name", "default")
+_SHORT = re.compile(r"\[\[([A-Za-z_][\w -]*?)(?:\|([^\]\n]*))?\]\]")
+MARKS = re.compile(rf"{re.escape(OPENS)}\b|\[\[")
+
+
+def quoted(value: str, at: int) -> tuple[str, int] | None:
+    """The raw content of the quoted string that begins at ``at``, and where it ends; None if none does.
+
+    A string in plain quotes ends at its quote, and a backslash takes the next character with it.  One that stands in text
+    which was itself escaped opens and closes with a backslash and a quote, and every other backslash is content.
+    """
+    escaped = value.startswith('\\"', at)
+    mark = '\\"' if escaped else value[at : at + 1]
+    if not escaped and mark not in ('"', "'"):
+        return None
+    place = start = at + len(mark)
+    while place < len(value):
+        if value.startswith(mark, place):
+            return value[start:place], place + len(mark)
+        place += 2 if value[place] == "\\" and not escaped else 1
+    return None
+
+
+def argument_at(value: str, at: int) -> dict | None:
+    """The argument that opens at ``at``: its fields in their order, the second may be missing, each a quoted string."""
+    place, told = at + len(OPENS), {}
+    for field in FIELDS:
+        gap = re.compile(rf"\s+{field}=").match(value, place)
+        got = gap and quoted(value, gap.end())
+        if not got:
+            break
+        told[field], place = got
+    close = re.compile(r"\s*\}").match(value, place)
+    return {"begin": at, "end": close.end(), "name": told["name"], "default": told.get("default")} if close and "name" in told else None
 
 
 def arguments(value: str | None) -> list[dict]:
-    """Every literal argument of a prompt, in order: begin, end, name, default; a mark that opens none has no name.
+    """Every literal argument of a prompt, in order: begin, end, name, default, as they stand; a mark that opens none has no name.
 
-    Two grammars: ``{argument name="x" default="y"}`` and ``[[x|y]]``.  The leftmost match holds; what overlaps it counts as part of it.
+    The leftmost holds; what opens within it is part of it.
     """
     out, at = [], 0
     for m in MARKS.finditer(value or ""):
         if m.start() < at:
             continue
-        whole = ARGUMENTS.match(value, m.start())
-        if whole:
-            out.append({"begin": whole.start(), "end": whole.end(), "name": whole["name"] if whole["name"] is not None else whole["short"], "default": whole["default"] if whole["default"] is not None else whole["given"]})
+        if m[0] == OPENS:
+            found = argument_at(value, m.start())
         else:
-            out.append({"begin": m.start(), "end": m.end(), "name": None, "default": None})
+            short = _SHORT.match(value, m.start())
+            found = short and {"begin": short.start(), "end": short.end(), "name": short[1], "default": short[2]}
+        out.append(found or {"begin": m.start(), "end": m.end(), "name": None, "default": None})
         at = out[-1]["end"]
     return out
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import finds
 from ..operators import tables
 from ..streaming import feeds, machines
 from .register import n, query, t
@@ -74,3 +75,15 @@ def followed_table(spark, d):
     tables.merge(spark, source, docs.filter("doc_id % 10 = 9").withColumn("lang", F.lit("last")))
     feeds.mirrored(spark, source, target, f"{target}-offsets")
     return tables.read(spark, target)
+
+
+@query("""WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS g FROM events WHERE ts IS NOT NULL),
+s AS (SELECT user_id, ts, sum(g) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) - 1 AS session FROM e)
+SELECT user_id, CAST(session AS INTEGER) AS session, count(*) AS rows, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last FROM s GROUP BY user_id, session""")
+def table_sessions(spark, d):
+    """Sessions by a table function over ordered partitions."""
+    finds.register(spark)
+    rows = t(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    found = spark.sql("SELECT * FROM sessions_of(TABLE(SELECT * FROM {rows}) PARTITION BY user_id ORDER BY (ts), 360)", rows=rows)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return found.select("user_id", "session", "rows", day("first"), day("last"))

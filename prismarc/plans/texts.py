@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import finds
 from ..functions import normalise as N
 from ..functions import records as R
 from ..functions import text as X
@@ -101,7 +102,20 @@ UNION ALL SELECT p_partkey, 'size', CAST(p_size AS VARCHAR), 6, 15 + len(CAST(p_
 def literal_arguments(spark, d):
     k = F.col("p_partkey") % 3
     said = F.when(k == 0, F.concat(F.lit('A picture of {argument name="what" default="'), "p_name", F.lit('"} please'))).when(k == 1, F.concat(F.lit("Size: [[size|"), F.col("p_size").cast("string"), F.lit("]]"))).otherwise(F.lit("A {argument nothing}"))
-    return t(spark, d, "part").select("p_partkey", F.explode(N.argument_list(said)).alias("a")).select("p_partkey", "a.name", "a.default", F.col("a.begin").cast("long").alias("begin"), F.col("a.end").cast("long").alias("end"))
+    finds.register(spark)
+    rows = t(spark, d, "part").select("p_partkey", said.alias("said"))
+    return spark.sql("SELECT r.p_partkey, f.name, f.default, CAST(f.begin AS BIGINT) AS begin, CAST(f.end AS BIGINT) AS end FROM {rows} r, LATERAL finds(r.said, 'arguments') f", rows=rows)
+
+
+@query(r"""SELECT p_partkey, 0 AS ordinal, p_name AS name, 'so \"' || p_brand || '\" says' AS "default" FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 1, p_type, NULL FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, 0, p_name, 'C:\x' FROM part WHERE p_partkey % 2 = 1""")
+def escaped_arguments(spark, d):
+    """Arguments whose quotes are escaped within them, and those that stand in escaped text; values as they stand."""
+    even = F.concat(F.lit('{argument name="'), "p_name", F.lit('" default="so \\"'), "p_brand", F.lit('\\" says"} and {argument name="'), "p_type", F.lit('"}'))
+    odd = F.concat(F.lit('{argument name=\\"'), "p_name", F.lit('\\"\n default=\\"C:\\x\\" }'))
+    finds.register(spark)
+    rows = t(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, even).otherwise(odd).alias("said"))
+    return spark.sql("SELECT r.p_partkey, f.ordinal, f.name, f.default FROM {rows} r, LATERAL finds(r.said, 'arguments') f", rows=rows)
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN CAST(2 AS BIGINT) END AS containers, CASE WHEN event_id % 4 < 2 THEN CAST(3 AS BIGINT) END AS scalars, CASE WHEN event_id % 4 < 2 THEN CAST(3 AS BIGINT) END AS named_leaves, CASE WHEN event_id % 4 < 2 THEN CAST(1 AS BIGINT) END AS named_texts FROM events""")
@@ -186,8 +200,9 @@ def markdown_items(spark, d):
     said = F.concat(F.lit('<a id="item-'), p, F.lit('"></a>\n## '), "p_name", F.lit("\n![x](media/"), p, F.lit('.png)\n```json\n{"name": "'), "p_name", F.lit('"}\n```\n'))
     rows = t(spark, d, "part").select("p_partkey", said.alias("md"), F.regexp_extract(said, r"!\[[^\]]*\]\(([^()]+)\)", 1).alias("image"))
     tree = t(spark, d, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("media/"), p, F.lit(".png")).alias("image"), F.lit(True).alias("there"))
-    items = rows.select("p_partkey", "image", F.explode(N.fence_list(F.col("md"))).alias("f"))
-    return items.join(tree, "image", "left").select("p_partkey", "f.anchor", "f.language", "f.body", "image", F.coalesce("there", F.lit(False)).alias("known"))
+    finds.register(spark)
+    items = spark.sql("SELECT r.p_partkey, r.image, f.anchor, f.language, f.body FROM {rows} r, LATERAL finds(r.md, 'fences') f", rows=rows)
+    return items.join(tree, "image", "left").select("p_partkey", "anchor", "language", "body", "image", F.coalesce("there", F.lit(False)).alias("known"))
 
 
 @query("""SELECT p_partkey, 'name: ' || p_name || chr(10) || 'brand: ' || p_brand || CASE WHEN p_type = p_brand OR p_partkey % 4 = 0 THEN '' ELSE chr(10) || 'type: ' || p_type END AS text FROM part""")
