@@ -14,21 +14,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: A table of fewer files than cores is dealt out anew up to so many bytes a core.
-DEALT = 64 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The rows of a table.
-
-    Files of one row group give work to one task each, so a small table in fewer files than there are cores is dealt out to
-    all cores first: an exchange of at most ``DEALT`` bytes a core, and none for tables in more files.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    few = len(df._jdf.inputFiles()) < cores
-    small = few and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= DEALT * cores
-    return df.repartition(cores) if small else df
+    """The rows of a table, as they lie: tables of all sizes are read by one plan."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
