@@ -84,6 +84,23 @@ def simhash(tokens: Column) -> Column:
     return by_value(_majority, "long")(tokens)
 
 
+def majority_bits(tokens: Column, width: int = 3) -> Column:
+    """64 bits as a long: those that more than half of the digests (MD5, the first half) of all windows of ``width`` tokens have.
+
+    Of fewer tokens each is a window; null without tokens.
+    """
+
+    def one(words: list[str] | None) -> int | None:
+        if words is None or not len(words):
+            return None
+        n = width if len(words) >= width else 1
+        digests = b"".join(hashlib.md5(" ".join(words[k : k + n]).encode()).digest()[:8] for k in range(len(words) - n + 1))
+        bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+        return int.from_bytes(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).tobytes(), "big", signed=True)
+
+    return by_value(one, "long")(tokens)
+
+
 def hamming(a: Column, b: Column) -> Column:
     """Of longs; null if either is missing."""
     return F.bit_count(a.bitwiseXOR(b)).cast("long")

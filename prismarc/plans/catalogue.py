@@ -475,15 +475,14 @@ def prefix_renormalise(spark, d):
     return t(spark, d, "embeddings").select("vec_id", F.round(F.get(vectors.unit_prefix(F.col("embedding"), 16), 0), 5).alias("first"))
 
 
-@query("""WITH b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS s FROM embeddings),
-r AS (SELECT s, min(vec_id) AS vec_id FROM b GROUP BY s),
-p AS (SELECT a.vec_id AS left_id, c.vec_id AS right_id, CAST(list_sum(list_transform(range(1, 65), lambda i: abs(a.s[i] - c.s[i]))) AS BIGINT) AS hamming FROM r a JOIN r c ON a.vec_id < c.vec_id
-UNION ALL SELECT r.vec_id, b.vec_id, 0 FROM r JOIN b ON r.s = b.s AND b.vec_id > r.vec_id)
-SELECT left_id, right_id, hamming, CASE WHEN hamming = 0 THEN 'exact' WHEN hamming <= 4 THEN 'near' ELSE 'manual' END AS relation FROM p WHERE hamming <= 8""")
+@query(families.FINGERPRINTS + """, r AS (SELECT hi, lo, min(doc_id) AS doc_id FROM b GROUP BY ALL),
+p AS (SELECT a.doc_id AS left_id, c.doc_id AS right_id, CAST(bit_count(xor(a.hi, c.hi)) + bit_count(xor(a.lo, c.lo)) AS BIGINT) AS hamming FROM r a JOIN r c ON a.doc_id < c.doc_id
+UNION ALL SELECT r.doc_id, b.doc_id, 0 FROM r JOIN b ON r.hi = b.hi AND r.lo = b.lo AND b.doc_id > r.doc_id)
+SELECT left_id, right_id, hamming, CASE WHEN hamming = 0 THEN 'exact' WHEN hamming <= 3 THEN 'near' ELSE 'manual' END AS relation FROM p WHERE hamming <= 6""")
 def hamming_banded_pairs(spark, d):
-    bits = t(spark, d, "embeddings").select("vec_id", vectors.sign_bits(F.col("embedding")).alias("bits"))
-    relation = F.when(F.col("hamming") == 0, "exact").when(F.col("hamming") <= 4, "near").otherwise("manual")
-    return vectors.banded_pairs(bits, "vec_id", "bits", 8).withColumn("relation", relation)
+    """Documents whose word fingerprints differ in six bits at most; copies follow as links to the first of them."""
+    relation = F.when(F.col("hamming") == 0, "exact").when(F.col("hamming") <= 3, "near").otherwise("manual")
+    return vectors.banded_pairs(families.fingerprints(spark, d), "doc_id", "bits", 6).withColumn("relation", relation)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

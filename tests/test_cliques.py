@@ -111,3 +111,23 @@ def test_git_digests_and_points(spark):
     assert found and found <= digests
     for r in catalogue.queries()["point_ids"](spark, SF).collect():
         assert r.point_id == str(uuid.uuid5(uuid.NAMESPACE_URL, f"snapshot-1:{r.vec_id}"))
+
+
+def test_near_copy_groups_against_all_pairs(spark, tmp_path):
+    import hashlib
+    import re
+
+    prints, r = {}, random.Random(5)
+    base = " ".join(f"w{r.randrange(400)}" for _ in range(400))
+    twins = [(10**6 + i, " ".join(f"v{k}" if k % 400 < i % 4 else w for k, w in enumerate(base.split(), 97 * i))) for i in range(24)]
+    spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame(twins, "doc_id long, text string")).write.parquet(f"file://{tmp_path}/documents.parquet")
+    for r in spark.read.parquet(f"file://{tmp_path}/documents.parquet").orderBy("doc_id").collect():
+        words = re.findall("[a-z0-9]+", (r.text or "").lower())
+        if words:
+            grams = words if len(words) < 3 else [" ".join(g) for g in zip(words, words[1:], words[2:])]
+            digests = [int(hashlib.md5(g.encode()).hexdigest()[:16], 16) for g in grams]
+            bits = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in digests) > len(grams))
+            prints.setdefault(bits, r.doc_id)
+    edges = [(i, j) for (p, i), (q, j) in itertools.combinations(prints.items(), 2) if (p ^ q).bit_count() <= 6]
+    got = sorted(tuple(map(int, r.members.split())) for r in catalogue.queries()["near_copy_groups"](spark, f"file://{tmp_path}").collect())
+    assert got == maximal(edges) and any(len(g) > 2 for g in got) and len(prints) > 100
