@@ -86,3 +86,76 @@ def test_snapshots_are_ready_once_whole(spark, tmp_path):
     got = feed.run([("s", 5, "part", None, 1, 20), ("s", 6, "part", None, 2, 30), ("s", 7, "part", None, 3, 1), ("s", 8, "plan", 4, None, 60), ("t", 1, "plan", 1, None, 5), ("t", 2, "part", None, 0, 6)])
     assert [g[2] for g in got if g[0] == "s"] == ["planned", "staged", "staged", "other content", "staged", "ready", "closed", "other plan"]
     assert [g[2] for g in got if g[0] == "t"] == ["planned", "digests differ"]
+
+
+class Cell:
+    """A value or a map of the state that counts what it is asked."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def get(self):
+        return self.getValue(None)
+
+    def update(self, value):
+        self.updateValue(None, value)
+
+    def getValue(self, key):
+        self.calls += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.held[key] = value
+
+    def exists(self):
+        return self.containsKey(None)
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.held
+
+    def iterator(self):
+        self.calls += 1 + len(self.held)
+        return iter(list(self.held.items()))
+
+    def clear(self):
+        self.calls += 1
+        self.held = {}
+
+
+class Cells(dict):
+    def getValueState(self, name, schema):
+        return self.setdefault(name, Cell())
+
+    getMapState = lambda self, name, *schemas: self.getValueState(name, None)
+
+
+def test_snapshots_ask_the_state_once_a_batch():
+    from pyspark.sql import Row
+
+    def batches(many, size):
+        ops = [Row(seq=0, kind="plan", parts=many, part=None, digest=sum(range(many)))] + [Row(seq=i + 1, kind="part", parts=None, part=i, digest=i) for i in range(many)]
+        machine, cells, out = machines.Snapshots(), Cells(), []
+        machine.init(cells)
+        for at in range(0, len(ops), size):
+            out += machine.handleInputRows(("k",), iter(ops[at : at + size]), None)
+        assert [r[2] for r in out] == ["planned"] + ["staged"] * (many - 1) + ["ready"]
+        late = list(machine.handleInputRows(("k",), iter([Row(seq=many + 1, kind="part", parts=None, part=0, digest=5)]), None))
+        assert late[0][2] == "closed"
+        return sum(c.calls for c in cells.values())
+
+    assert batches(20, 7) <= 8
+    # beyond what one value keeps a part is looked up by its key: two calls a row and two a batch at most
+    assert batches(1000, 50) <= 2 * 1001 + 2 * 22 + 1
+
+
+def test_snapshots_beyond_one_value_over_restarts(spark, tmp_path):
+    many = machines.INLINE + 44
+    part = lambda i, digest=None: ("k", i + 1, "part", None, i, i if digest is None else digest)
+    feed = Feed(spark, tmp_path, machines.snapshots, "key string, seq long, kind string, parts long, part long, digest long")
+    feed.run([("k", 0, "plan", many, None, sum(range(many)))] + [part(i) for i in range(10)])
+    feed.run([part(i) for i in range(10, many - 2)])
+    got = feed.run([part(3, 9), part(4), *[part(i) for i in range(many - 2, many)]], [part(7)])
+    assert [r[2] for r in got if r[1] == 4] == ["other content", "staged"] and [r[2] for r in got if r[1] == 5] == ["staged"] * 2
+    assert [r[2] for r in got if r[1] == many] == ["ready"] and sorted(r[2] for r in got if r[1] == 8) == ["closed", "staged"]
