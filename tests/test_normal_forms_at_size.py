@@ -25,3 +25,8 @@ def test_fingerprints_by_definition_from_one_string_a_row(spark):
         assert got[i] == want, tokens
     assert df._jdf.queryExecution().optimizedPlan().toString().count("array_join") >= 2
 
+
+def test_tokens_of_a_template_are_found_once(spark):
+    df = spark.createDataFrame([("one two <x> <x> two two three four five six",), ("a b <x>",), (None,), ("one two three four five six seven eight",)], "c string").select(N.template_signature(F.col("c")).alias("s"))
+    assert [r[0] for r in df.collect()] == ["one two <var> two three four five six", None, None, None]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
