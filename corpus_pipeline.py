@@ -27,7 +27,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the document with the smallest id stays.
+
+    Candidates are op7's components of fingerprints and, for pairs beyond their 4 bits, MinHash bands; both are checked on the whole sets.
+    """
     return near_copies.keep_one(docs)
 
 

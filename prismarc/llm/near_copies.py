@@ -1,15 +1,18 @@
-"""Near copies by Jaccard similarity of word shingles, found by MinHash bands and checked exactly.
+"""Near copies by Jaccard similarity of word shingles, found by SimHash rings and then by MinHash bands, and checked exactly.
 
 Two texts are near copies if their sets of ``shingle`` lower-cased words in a
 row have a Jaccard similarity of ``least`` or more; texts of fewer words have
 one shingle.  Texts with the same words are one node (a 64-bit hash), so exact
 copies cost nothing; null texts and texts without words are one node too.
 
-Candidates share one of ``bands`` keys of ``rows`` MinHash values: at similarity
-s they are missed with probability (1 - s**rows)**bands, 6e-7 at 0.8 with 20
-bands of 3.  64 bits of SimHash can't do this: pairs at 0.8 differ in ten bits on
-average and in up to twenty, too many for keys that agree exactly.  Groups with
-the same members are held once.  In a group every pair is compared on the whole
+The first candidates are those of op7 (``simhash``): fingerprints of four-word
+shingles that pigeonring keys, chain budgets and the Hamming check link at 4 bits
+or fewer; each of their components is a group.  64 bits can't find all: pairs at
+0.8 differ in ten bits on average and in up to twenty, too many for keys that
+agree exactly.  So the others share one of ``bands`` keys of ``rows`` MinHash
+values: at similarity s they are missed with probability (1 - s**rows)**bands,
+6e-7 at 0.8 with 20 bands of 3.  Bands whose members the rings have joined
+already are not looked at.  Groups with the same members are held once.  In a group every pair is compared on the whole
 sets unless links found before already join it.  Groups of more than ``BLOCK``
 bytes are dealt out as pairs of blocks.
 """
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, cut, mark, renamed, slices, sweep
 from .repeats import U, mixed, prefix, spans_hash, word_hashes
-from .simhash import components
+from .simhash import components, fingerprint, links
 
 SHINGLE, LEAST, BANDS, ROWS, BLOCK = 5, 0.8, 20, 3, 8 << 20
 
@@ -80,21 +83,10 @@ def similar_links(nodes: np.ndarray, sets: list[np.ndarray], least: float) -> tu
     return nodes[a] if a else nodes[:0], nodes[b] if b else nodes[:0]
 
 
-def near_links(docs: DataFrame, least: float, shingle: int, bands: int, rows: int, block: int) -> DataFrame:
-    """Links (__a, __b) between the nodes of ``docs`` (__node, __words)."""
-
-    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "__words", 2 << 20):
-            raws = as_bytes(batch, "__words")
-            keys = np.concatenate([band_keys(s, bands, rows) for s in shingle_sets(raws, shingle)]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, bands), pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in raws], pa.int64()), lists], names=["__node", "__size", "__keys"])
-
-    worded = docs.filter(F.col("__words") != "")
-    sketches = worded.select("__node", "__words").mapInArrow(sketch, "__node long, __size long, __keys array<long>")
-    keyed = cut(sketches.dropDuplicates(["__node"])).select("__node", "__size", F.explode("__keys").alias("__key"))
-    groups = keyed.groupBy("__key").agg(F.count("*").alias("__n"), F.sum("__size").alias("__bytes"), *[F.bit_xor(F.xxhash64("__node", F.lit(k))).alias(f"__x{k}") for k in (1, 2)])
-    groups = groups.filter("__n > 1").groupBy("__n", "__bytes", "__x1", "__x2").agg(F.min("__key").alias("__key"))
+def similar_in_groups(keyed: DataFrame, worded: DataFrame, least: float, shingle: int, block: int) -> DataFrame:
+    """Links (__a, __b) that join the similar nodes of each group of ``keyed`` (__key, __node, __size, __of): those that share a key, unless all have one __of."""
+    groups = keyed.groupBy("__key").agg(F.count("*").alias("__n"), F.sum("__size").alias("__bytes"), F.min("__of").alias("__low"), F.max("__of").alias("__high"), *[F.bit_xor(F.xxhash64("__node", F.lit(k))).alias(f"__x{k}") for k in (1, 2)])
+    groups = groups.filter("__n > 1 AND __low <> __high").groupBy("__n", "__bytes", "__x1", "__x2").agg(F.min("__key").alias("__key"))
     groups = groups.select("__key", F.ceil(F.col("__bytes") / block).cast("int").alias("__blocks"))
     met = keyed.join(groups, "__key").withColumn("__own", F.pmod(F.xxhash64("__node"), F.col("__blocks")).cast("int"))
     # of a group of many blocks every two meet
@@ -108,22 +100,44 @@ def near_links(docs: DataFrame, least: float, shingle: int, bands: int, rows: in
         held: dict[int, bytes] = {}
         now = None
 
-        def links() -> pa.RecordBatch:
+        def found() -> pa.RecordBatch:
             a, b = similar_links(np.array(list(held), np.int64), list(shingle_sets(list(held.values()), shingle)), least)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["__a", "__b"])
 
         for batch in batches:
             for at, node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch, "__words"), strict=True):
                 if at != now and held:
-                    yield links()
+                    yield found()
                     held = {}
                 now, held[node] = at, raw
         if held:
-            yield links()
+            yield found()
 
     return cells.join(texts, "__node").select("__cell", "__node", "__words").repartition("__cell").sortWithinPartitions("__cell").mapInArrow(verify, "__a long, __b long").distinct()
 
 
+def near_links(docs: DataFrame, least: float, shingle: int, bands: int, rows: int, block: int) -> DataFrame:
+    """Links (__a, __b) between the nodes of ``docs`` (__node, __words)."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "__words", 2 << 20):
+            raws = as_bytes(batch, "__words")
+            keys = np.concatenate([band_keys(s, bands, rows) for s in shingle_sets(raws, shingle)]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, bands), pa.int32()), pa.array(keys))
+            prints = np.array([fingerprint(r) for r in raws], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in raws], pa.int64()), pa.array(prints), lists], names=["__node", "__size", "__fp", "__keys"])
+
+    worded = docs.filter(F.col("__words") != "")
+    sketches = worded.select("__node", "__words").mapInArrow(sketch, "__node long, __size long, __fp long, __keys array<long>")
+    sketches = cut(sketches.dropDuplicates(["__node"]))
+    rings = components(links(sketches.select("__fp").distinct())).select(F.col("__node").alias("__fp"), F.col("__root").alias("__ring"))
+    ringed = sketches.join(rings, "__fp", "left").select(F.coalesce("__ring", "__fp").alias("__key"), "__node", "__size", F.col("__node").alias("__of"))
+    first = cut(similar_in_groups(ringed, worded, least, shingle, block))
+    joined = cut(components(first))
+    keyed = sketches.join(joined, "__node", "left").select("__node", "__size", F.coalesce("__root", "__node").alias("__of"), F.explode("__keys").alias("__key"))
+    return similar_in_groups(keyed, worded, least, shingle, block).unionByName(first)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """Of each component of near copies the text with the smallest id (of several, the one with the smallest hash).
 

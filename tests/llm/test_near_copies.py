@@ -62,3 +62,19 @@ def test_stage_is_the_rule_of_five_words(spark):
     docs = spark.createDataFrame(planted(2), "doc_id long, text string")
     got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(planted(2))
+
+
+def test_rings_find_what_bands_do_not(spark):
+    """Fingerprints that op7 links, at one band that no two texts share."""
+    from prismarc.llm import simhash
+
+    r = random.Random(3)
+    rows = []
+    for base in range(60):
+        text = words(r, 400)
+        rows += [(base * 10, " ".join(text)), (base * 10 + 1, " ".join([*text[:200], "x", *text[201:]]))]
+    prints = [simhash.fingerprint(t.encode()) for _, t in rows]
+    near = {rows[i + 1][0] for i in range(0, len(rows), 2) if (prints[i] ^ prints[i + 1]).bit_count() <= simhash.MOST}
+    assert 10 < len(near) < 60
+    kept = {x.doc_id for x in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), bands=1, rows=500).collect()}
+    assert {i for i, _ in rows} - kept == near
