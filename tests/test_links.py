@@ -48,6 +48,36 @@ def test_absorption(spark):
     assert {r.g: r.by for r in got} == want
 
 
+def test_absorption_moves_rows_in_proportion_to_the_items(spark, request):
+    """Sets that meet over an item but can't hold each other are told without counting their items."""
+    pick = random.Random(5)
+    sets = {f"s{i:04}": frozenset(f"x{x}" for x in pick.sample(range(50), 1 + i % 7)) for i in range(3000)}
+    rows = [(i, x) for i, s in sets.items() for x in s]
+    df = spark.createDataFrame(rows, "g string, x string")
+    sc = spark.sparkContext
+
+    def stages():
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+    before = stages()
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held))
+    got = {r.g: r.by for r in graph.absorb_sets(df, "g", "x").collect()}
+    moved = sum(n for k, n in stages().items() if k not in before)
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(sets[i], i)
+    want = {}
+    for i, s in sets.items():
+        over = [(-len(z), k) for z, k in first.items() if s < z]
+        if over or first[s] != i:
+            want[i] = min(over)[1] if over else first[s]
+    assert got == want and len(want) > 300
+    assert 0 < moved < 20 * len(rows), moved
+
+
 def test_ranks_of_hot_and_null_groups(spark):
     rows = [(g, v) for g, many in (("hot", 300), ("b", 5), (None, 20)) for v in random.Random(1).sample(range(1000), many)]
     got = ranking.ranks(spark.createDataFrame(rows, "g string, v int"), ["g"], ["v"], "r").collect()
