@@ -1,13 +1,16 @@
 """A stored inverted index: blocks of postings by token, and the tokens by trigram.
 
 A block holds the documents of one token within one stretch of ``STRETCH`` ids:
-their gaps, how often the token stands in each, and the most that it does.  So
+their gaps, how often the token stands in each, the most that it does, and the sum.  So
 the list of a token that every document has is many blocks, none of them large.
 Blocks lie in folders by the hash of their token, sorted by it: a search reads
 the folders of its tokens and in these the row groups that can hold them, and
 never a text.  Tokens that begin with a string or hold it are found by trigrams
 of the vocabulary (``^`` stands before each token).
 
+Texts are counted where they are read, a few megabytes at a time; what moves is
+a row for each token and stretch of such a piece, once, to the folder it is for.
+
 Ids are whole numbers; rows of one id are one document; a null id or text isn't
 indexed.  An empty search finds nothing.
 """
@@ -15,39 +18,125 @@ indexed.  An empty search finds nothing.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import text as X
-
-STRETCH, FOLDERS = 1 << 16, 32
+STRETCH, FOLDERS, PIECE = 1 << 16, 32, 4 << 20
 BLOCKS, VOCABULARY, GRAMS = "blocks", "vocabulary", "grams"
-SCHEMAS = {BLOCKS: "token string, stretch long, n int, top int, gaps array<int>, times array<int>, folder int", VOCABULARY: "token string, documents long, times long, folder int", GRAMS: "gram string, token string, folder int"}
+SCHEMAS = {BLOCKS: "token string, stretch long, n int, top int, total long, gaps array<int>, times array<int>, folder int", VOCABULARY: "token string, documents long, times long, folder int", GRAMS: "gram string, token string, folder int"}
 
 
 def folder(c: Column) -> Column:
     return F.pmod(F.xxhash64(c), F.lit(FOLDERS)).cast("int")
 
 
+#: Bytes of lower-cased text that belong to no token become spaces.
+_TOKENS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
+
+
+def lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[starts, len(values)], pa.int32()), pa.array(values, pa.int32()))
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, stretch, offs, times of (id, lower-cased text): a row for each token and stretch of a piece of ``PIECE`` bytes."""
+    ids: list[int] = []
+    sizes: list[int] = []
+    tokens: list[bytes] = []
+    times: list[int] = []
+
+    def piece() -> pa.RecordBatch:
+        own = np.repeat(np.array(ids, np.int64), sizes)
+        words = pa.array(tokens, pa.binary()).dictionary_encode()
+        stretches, place = np.unique(own // STRETCH, return_inverse=True)
+        key = words.indices.to_numpy().astype(np.int64) * len(stretches) + place
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        token = words.dictionary.cast(pa.string()).take(pa.array(key[first] // len(stretches)))
+        return pa.RecordBatch.from_arrays([token, pa.array(stretches[key[first] % len(stretches)]), lists((own % STRETCH)[order], first), lists(np.array(times, np.int64)[order], first)], names=["token", "stretch", "offs", "times"])
+
+    held = 0
+    for batch in batches:
+        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found = Counter(memoryview(raw.as_buffer()).tobytes().translate(_TOKENS).split()) if raw.is_valid else ()
+            if found:
+                ids.append(i)
+                sizes.append(len(found))
+                tokens += found.keys()
+                times += found.values()
+                held += raw.as_buffer().size
+            if held > PIECE:
+                yield piece()
+                ids, sizes, tokens, times, held = [], [], [], [], 0
+    if ids:
+        yield piece()
+
+
+def blocks_from(part: pa.Table) -> pa.RecordBatch:
+    """Blocks of rows of ``counted`` that are sorted by token and stretch; rows of one id are added up."""
+    stretch = part.column("stretch").to_numpy()
+    token = part.column("token").combine_chunks()
+    fresh = np.r_[True, pc.not_equal(token[1:], token[:-1]).to_numpy(zero_copy_only=False) | (stretch[1:] != stretch[:-1])]
+    offs, times = part.column("offs").combine_chunks(), part.column("times").combine_chunks()
+    group = np.repeat(np.cumsum(fresh) - 1, pc.list_value_length(offs).to_numpy())
+    off, often = offs.flatten().to_numpy().astype(np.int64), times.flatten().to_numpy().astype(np.int64)
+    order = np.argsort(group * STRETCH + off, kind="stable")
+    group, off, often = group[order], off[order], often[order]
+    once = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (off[1:] != off[:-1])])
+    often = np.add.reduceat(often, once)
+    group, off = group[once], off[once]
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    gaps = np.diff(off, prepend=0)
+    gaps[first] = off[first]
+    at = pa.array(np.flatnonzero(fresh))
+    columns = [token.take(at), pa.array(stretch).take(at), pa.array(np.diff(np.r_[first, len(off)]), pa.int32()), pa.array(np.maximum.reduceat(often, first), pa.int32()), pa.array(np.add.reduceat(often, first)), lists(gaps, first), lists(often, first), part.column("folder").combine_chunks().take(at)]
+    return pa.RecordBatch.from_arrays(columns, names=["token", "stretch", "n", "top", "total", "gaps", "times", "folder"])
+
+
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``blocks_from`` over batches: the last token and stretch wait for the next batch."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        part = part if held is None else pa.concat_tables([held, part])
+        last = part.slice(part.num_rows - 1).to_pylist()[0]
+        other = pc.or_(pc.not_equal(part.column("token"), last["token"]), pc.not_equal(part.column("stretch"), last["stretch"])).to_numpy()
+        cut = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        if cut:
+            yield blocks_from(part.slice(0, cut))
+        held = part.slice(cut)
+    if held is not None:
+        yield blocks_from(held)
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of one folder together, in as many parts (by the keys) as the shuffle's partitions allow."""
+    parts = -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // FOLDERS)
+    return rows.repartitionById(FOLDERS * parts, (F.col("folder") * parts + F.pmod(F.xxhash64(*keys), F.lit(parts))).cast("int"))
+
+
 def build(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     spark = docs.sparkSession
-    told = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.explode(X.tokens(F.col(text_col))).alias("token"))
-    counted = told.groupBy("token", "id").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    stretch, off = F.floor(F.col("id") / STRETCH), F.pmod(F.col("id"), F.lit(STRETCH)).cast("int")
-    # a stretch has so many ids, so a list is never longer
-    lists = counted.select("token", stretch.alias("stretch"), off.alias("off"), "times").groupBy("token", "stretch").agg(F.array_sort(F.collect_list(F.struct("off", "times"))).alias("own"))
-    offs = lists["own"]["off"]
-    blocks = lists.select("token", "stretch", F.size("own").alias("n"), F.array_max(F.col("own.times")).alias("top"), F.zip_with(offs, F.concat(F.array(F.lit(0)), F.slice(offs, 1, F.size(offs) - 1)), lambda a, b: a - b).alias("gaps"), F.col("own.times").alias("times"), folder(F.col("token")).alias("folder"))
-    blocks.repartitionByRange("folder", "token", "stretch").sortWithinPartitions("folder", "token", "stretch").write.partitionBy("folder").parquet(f"{path}/{BLOCKS}")
+    told = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("text"))
+    rows = told.mapInArrow(counted, "token string, stretch long, offs array<int>, times array<int>").withColumn("folder", folder(F.col("token")))
+    blocks = dealt(rows, "token", "stretch").sortWithinPartitions("folder", "token", "stretch").mapInArrow(merged, SCHEMAS[BLOCKS])
+    blocks.sortWithinPartitions("folder", "token", "stretch").write.partitionBy("folder").parquet(f"{path}/{BLOCKS}")
     held = read(spark, path, BLOCKS)
-    words = held.groupBy("token").agg(F.sum("n").alias("documents"), F.sum(F.aggregate("times", F.lit(0).cast("long"), lambda s, x: s + x)).alias("times")).withColumn("folder", folder(F.col("token")))
-    words.repartition("folder").sortWithinPartitions("folder", "token").write.partitionBy("folder").parquet(f"{path}/{VOCABULARY}")
+    words = held.groupBy("token").agg(F.sum("n").alias("documents"), F.sum("total").alias("times")).withColumn("folder", folder(F.col("token")))
+    dealt(words, "token").sortWithinPartitions("folder", "token").write.partitionBy("folder").parquet(f"{path}/{VOCABULARY}")
     marked = F.concat(F.lit("^"), "token")
     grams = read(spark, path, VOCABULARY).select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(marked) - 2, F.lit(1))), lambda i: F.substring(marked, i, 3)))).alias("gram"), "token")
-    grams.withColumn("folder", folder(F.col("gram"))).repartitionByRange("folder", "gram", "token").sortWithinPartitions("folder", "gram", "token").write.partitionBy("folder").parquet(f"{path}/{GRAMS}")
+    dealt(grams.withColumn("folder", folder(F.col("gram"))), "gram", "token").sortWithinPartitions("folder", "gram", "token").write.partitionBy("folder").parquet(f"{path}/{GRAMS}")
 
 
 def read(spark: SparkSession, path: str, part: str) -> DataFrame:

@@ -154,7 +154,8 @@ def indexed_collapsed(spark, d):
     """``collapsed_search`` with its word and its part of a word from the index: texts are read for their groups only."""
     path = indexed(spark, d)
     hits = postings.with_any(spark, path, ["and"]).unionByName(postings.containing(spark, path, "schkeit")).distinct().select(F.col("id").alias("doc_id"), F.lit(True).alias("found"))
-    rows = t(spark, d, "documents").join(t(spark, d, "labels"), "doc_id", "left").join(hits, "doc_id", "left")
+    docs = t(spark, d, "documents").select("doc_id", "lang", F.sha2("text", 256).alias("h"))  # no text goes into the joins
+    rows = docs.join(t(spark, d, "labels"), "doc_id", "left").join(hits, "doc_id", "left")
     hit = F.coalesce("found", F.lit(False)) | F.coalesce((F.col("quality") == 1) & (F.col("lang") == "es"), F.lit(False))
-    items = rows.select("doc_id", F.sha2("text", 256).alias("h"), (F.coalesce("toxic", F.lit(0)) != 1).alias("visible"), hit.alias("hit"))
+    items = rows.select("doc_id", "h", (F.coalesce("toxic", F.lit(0)) != 1).alias("visible"), hit.alias("hit"))
     return reviews.collapsed(items, "doc_id", "h", "hit", "visible")

@@ -68,3 +68,20 @@ def test_empty(spark, tmp_path):
     path = f"file://{tmp_path}/e"
     postings.build(spark.createDataFrame([(1, None)], "doc_id long, text string"), path)
     assert ids(postings.with_all(spark, path, ["a"])) == ids(postings.containing(spark, path, "abc")) == postings.top(spark, path, ["a"], 3).collect() == []
+
+
+def test_rows_that_move_are_pieces_and_the_index_is_counted_once(spark, tmp_path):
+    """A row a token, stretch and piece goes through the shuffle, not one a token and document, and nothing is run twice for a range's sample."""
+    sc = spark.sparkContext
+
+    def stages():
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (found.apply(i) for i in range(found.size()))}
+
+    docs = spark.range(4000).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 50), i -> concat('w', pmod(i * 7 + id, 200)))) AS text")
+    before, path = stages(), f"file://{tmp_path}/i"
+    postings.build(docs, path)
+    assert 0 < sum(n for k, n in stages().items() if k not in before) < 40_000  # of 200,000 tokens in documents
+    blocks = postings.read(spark, path, postings.BLOCKS)
+    assert blocks.agg({"n": "sum", "total": "sum"}).first()[:] == (200_000, 200_000)
+    assert postings.read(spark, path, postings.VOCABULARY).agg({"times": "sum"}).first()[0] == 200_000

@@ -55,3 +55,18 @@ def test_hydration_states(spark):
     got = reviews.hydrated(hits, items, "i", "g", "m", "r").collect()
     assert sorted((r.g, r.m, r.r or 0, r.state) for r in got) == [("a", 2, 1, "sound"), ("a", 2, 3, "represented_elsewhere"), ("a", 3, 1, "matched_elsewhere"), ("b", 3, 0, "missing"), ("b", 4, 3, "missing")]
     assert reviews.audited(items.limit(0), {"x": F.col("i") > 1}, ("i",)).collect() == [("x", 0), ("repeated i", 0)]
+
+
+@pytest.mark.parametrize("name", ["collapsed_search", "indexed_collapsed"])
+def test_no_text_goes_into_the_joins_of_collapsed_results(spark, name):
+    from prismarc.plans import catalogue
+
+    nodes, joins = [catalogue.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()], 0
+    while nodes:
+        node = nodes.pop()
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Join":
+            joins += 1
+            assert not any(x.output().apply(i).name() == "text" for x in below for i in range(x.output().size()))
+        nodes += below
+    assert joins
