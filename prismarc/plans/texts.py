@@ -22,8 +22,7 @@ def normal_texts(spark, d):
 
 @query(f"""SELECT doc_id, sha256(replace(lower({_FLAT.format("coalesce(text, '')")}), 'ß', 'ss')) AS prompt, sha256(replace(lower({_FLAT.format("coalesce(text, '')")}), 'ß', 'ss')) AS term, sha256(lower({_FLAT.format("coalesce(text, '')")})) AS gallery FROM documents""")
 def normal_forms(spark, d):
-    c = F.col("text")
-    return t(spark, d, "documents").select("doc_id", *[F.sha2(f(c), 256).alias(k) for f, k in ((N.normal_prompt, "prompt"), (N.normal_term, "term"), (N.normal_gallery, "gallery"))])
+    return t(spark, d, "documents").select("doc_id", *[N.form_digest(k, F.col("text")).alias(k) for k in N.FORMS])
 
 
 @query("""SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+|[가-힣]+|[㐀-鿿]+|[぀-ヿ]+')) AS tokens, sha256(array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+|[가-힣]+|[㐀-鿿]+|[぀-ヿ]+'), ' ')) AS digest FROM documents""")
