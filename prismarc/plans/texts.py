@@ -9,7 +9,7 @@ from ..functions import finds
 from ..functions import normalise as N
 from ..functions import records as R
 from ..functions import text as X
-from ..operators import graph
+from ..operators import graph, overlaps
 from .register import n, query, t
 
 _FLAT = r"trim(regexp_replace({}, '[ \t\n\r]+', ' ', 'g'))"
@@ -56,32 +56,26 @@ def near_texts(spark, d):
     are one node: pairs of nodes are those of their least documents, and every other document of a node is a pair with that one
     (score 1), so each link is a pair of these or follows from it by the members.
     """
-    rows = t(spark, d, "documents").select("doc_id", N.normal_text(F.col("text")).alias("said"))
-    rows = graph.written(rows.select("doc_id", F.length("said").alias("chars"), N.script_tokens(F.col("said")).alias("all")).select("doc_id", "chars", F.array_sort(F.array_distinct("all")).alias("own"), N.simhash(F.col("all")).alias("print")).filter(F.size("own") > 0))
-    nodes = graph.written(rows.groupBy(F.xxhash64("own", "print", "chars").alias("node")).agg(F.min("doc_id").alias("doc_id"), F.first("chars").alias("chars"), F.first("own").alias("own"), F.first("print").alias("print"), n().alias("copies")))
-    often = nodes.select(F.explode("own").alias("token")).groupBy("token").agg(n().alias("often"))
-    ranked = nodes.select("node", F.explode("own").alias("token")).join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("ranked"))
-    first = F.slice("ranked", 1, (F.floor(F.size("ranked") * 0.12 + 1e-9) + 1).cast("int"))
+    docs = t(spark, d, "documents").filter("doc_id IS NOT NULL")
+    rows = graph.tabled(docs.select("doc_id", N.token_sets(F.col("text")).alias("s")).select("doc_id", "s.*")).filter("own IS NOT NULL")
+    slim = [F.first(c).alias(c) for c in ("chars", "size", "print", "keys", "home")]
+    nodes = graph.tabled(overlaps.rare_keys(rows, "own", 0.12).groupBy("node").agg(F.min("doc_id").alias("doc_id"), *slim))
     # the narrow gates come first: lengths, sizes and fingerprints meet over the keys, token sets only where these are close
-    slim = nodes.select("node", "chars", "print", F.size("own").alias("size"))
-    keys = graph.written(ranked.select("node", F.explode(F.transform(first, lambda x: F.xxhash64(x.token))).alias("key")).join(slim, "node"))
-    right = keys.toDF("other", "key", "other_chars", "other_print", "other_size")
     close = (F.least("size", "other_size") >= 0.88 * F.greatest("size", "other_size")) & (F.least("chars", "other_chars") >= 0.9 * F.greatest("chars", "other_chars")) & (N.hamming(F.col("print"), F.col("other_print")) <= 12)
-    pairs = graph.written(keys.join(right, "key").filter((F.col("node") < F.col("other")) & close).select("node", "other").distinct())
-    b = nodes.select(F.col("node").alias("other"), F.col("doc_id").alias("right_id"), F.col("chars").alias("c2"), F.col("own").alias("o2"), F.col("print").alias("p2"))
-    met = pairs.join(nodes, "node").join(b, "other")
+    named = nodes.select("node", "doc_id")
+    met = overlaps.close_pairs(nodes.drop("doc_id"), rows.join(named, ["node", "doc_id"], "left_semi"), "own", close)
+    a, b = (nodes.select(F.col("node").alias(n), *[F.col(c).alias(p + c) for c in ("doc_id", "chars", "size", "print")]) for n, p in (("node", "l_"), ("other", "r_")))
     c = F.col
-    score = N.near_score((c("chars"), c("c2")), (c("own"), c("o2")), (c("print"), c("p2")))
-    apart = met.select(F.least("doc_id", "right_id").alias("left_id"), F.greatest("doc_id", "right_id").alias("right_id"), score.alias("score")).filter("score IS NOT NULL")
-    members = rows.select(F.xxhash64("own", "print", "chars").alias("node"), F.col("doc_id").alias("right_id")).join(nodes.select("node", "doc_id"), "node").filter("right_id > doc_id").distinct()
+    score = N.near_score((c("l_chars"), c("r_chars")), (c("l_size"), c("r_size")), (c("l_print"), c("r_print")), c("met"))
+    apart = met.join(a, "node").join(b, "other").select(F.least("l_doc_id", "r_doc_id").alias("left_id"), F.greatest("l_doc_id", "r_doc_id").alias("right_id"), score.alias("score")).filter("score IS NOT NULL")
+    members = rows.select("node", F.col("doc_id").alias("right_id")).join(named, "node").filter("right_id > doc_id").distinct()
     return apart.unionByName(members.select(F.col("doc_id").alias("left_id"), "right_id", F.lit(1.0).alias("score")))
 
 
 @query()
 def blake_simhashes(spark, d):
     """64-bit SimHashes of all documents, by word trigrams."""
-    rows = t(spark, d, "documents").select("doc_id", N.normal_text(F.col("text")).alias("said"))
-    return rows.select("doc_id", F.lower(F.lpad(F.hex(N.simhash(N.script_tokens(F.col("said")))), 16, "0")).alias("simhash"))
+    return t(spark, d, "documents").select("doc_id", F.lower(F.lpad(F.hex(N.script_simhash(F.col("text"))), 16, "0")).alias("simhash"))
 
 
 @query(r"""WITH m AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '\[[^\]\n]{1,80}\]', ' <var> ', 'g'), '\{[^}\n]{1,80}\}', ' <var> ', 'g'), '<[^>\n]{1,80}>', ' <var> ', 'g'), '(?:"[^"\n]{1,120}"|''[^''\n]{1,120}'')', ' <var> ', 'g'), '\b[0-9]+(?:[.:/-][0-9]+)*\b', ' <var> ', 'g') AS m FROM documents)
